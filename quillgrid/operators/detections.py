@@ -101,48 +101,46 @@ def group_by_label(labelled: DataFrame, chunk: int = 1024) -> DataFrame:
     ).drop("__boxes")
 
 
-def split_tables(boxes: Column, model: str = LAYOUT_MODEL) -> Column:
-    """Per-image result from one detection array: ``struct<tables, others>``.
-
-    ``tables`` is empty if none were found; ``others`` maps label to boxes and
-    is NULL if there are none. Array order is kept.
-    """
+def labelled_array(boxes: Column, model: str = LAYOUT_MODEL) -> Column:
+    """Detection array of one image as ``array<struct<label,bbox>>``, order kept; empty for NULL."""
     labelled = F.transform(
-        F.coalesce(boxes, F.array().cast(T.ArrayType(DETECTION))),
+        boxes,
         lambda d: F.struct(
             class_label(d["cls"], model).alias("label"), g.box(d["x1"], d["y1"], d["x2"], d["y2"]).alias("bbox")
         ),
     )
+    return F.coalesce(labelled, F.array().cast(f"array<struct<label:string,bbox:{g.BOX_TYPE}>>"))
 
-    def of_label(label: Column) -> Column:
-        return F.transform(F.filter(labelled, lambda d: d["label"] == label), lambda d: d["bbox"])
 
-    other_labels = F.array_distinct(
-        F.transform(F.filter(labelled, lambda d: d["label"] != TABLE), lambda d: d["label"])
-    )
-    others = F.map_from_arrays(other_labels, F.transform(other_labels, of_label))
-    return F.struct(
-        of_label(F.lit(TABLE)).alias("tables"),
-        F.when(F.size(other_labels) > 0, others).alias("others"),
-    )
+def boxes_of(labelled: Column, label: Column) -> Column:
+    return F.transform(F.filter(labelled, lambda d: d["label"] == label), lambda d: d["bbox"])
 
 
 def page_results(images: DataFrame, model: str = LAYOUT_MODEL) -> DataFrame:
     """The four-part result of every image row: tables by page, tables, other labels, image size.
 
+    Without tables the list is empty; without other labels their map is NULL.
     Works on one row at a time, since a detector returns all boxes of an image
     in one array; nothing is shuffled.
     """
-    page = F.col("page_number")
-    parts = images.withColumn("__parts", split_tables(F.col("boxes"), model))
-    size = F.struct(F.col("image_width"), F.col("image_height"))
+    page, labelled, names = F.col("page_number"), F.col("__labelled"), F.col("__names")
+    parts = (
+        images.withColumn("__labelled", labelled_array(F.col("boxes"), model))
+        .withColumn(
+            "__names",
+            F.array_distinct(F.transform(F.filter(labelled, lambda d: d["label"] != TABLE), lambda d: d["label"])),
+        )
+        .withColumn("__tables", boxes_of(labelled, F.lit(TABLE)))
+    )
+    others = F.map_from_arrays(names, F.transform(names, lambda label: boxes_of(labelled, label)))
+    tables = F.col("__tables")
     return parts.select(
         "doc_id",
         "page_number",
-        F.create_map(page, F.col("__parts")["tables"]).alias("coordinates_by_page"),
-        F.array(F.create_map(F.lit(TABLE), F.col("__parts")["tables"])).alias("table_bboxes"),
-        F.create_map(page, F.col("__parts")["others"]).alias("all_model_bounds"),
-        F.create_map(page, size).alias("page_dimensions"),
+        F.create_map(page, tables).alias("coordinates_by_page"),
+        F.array(F.create_map(F.lit(TABLE), tables)).alias("table_bboxes"),
+        F.create_map(page, F.when(F.size(names) > 0, others)).alias("all_model_bounds"),
+        F.create_map(page, F.struct("image_width", "image_height")).alias("page_dimensions"),
     )
 
 

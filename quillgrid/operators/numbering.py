@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,6 @@ from quillgrid.session import materialise
 _SEGMENT = "__segment"
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -75,8 +72,10 @@ def with_position(
             "__total", F.sum("__rows").over(Window.partitionBy(*group))
         )
 
-    joined = rows.join(edges, _null_safe(rows, edges, names), "inner")
-    out = [rows[c] for c in df.columns]
+    edges = edges.withColumnsRenamed({name: f"__edge_{name}" for name in names})
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"__edge_{name}")) for name in names])
+    joined = rows.join(edges, same, "inner")
+    out = [F.col(c) for c in df.columns]
     out.append((F.col("__before") + F.col("__local")).cast("bigint").alias(position))
     if total:
         out.append(F.col("__total").cast("bigint").alias(total))
