@@ -15,6 +15,8 @@ through ever smaller sub-cells instead of pair by pair. The result is exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators.components import connected_components
+from quillgrid.operators.search import balanced_sum
 from quillgrid.operators.skew import HOT_ROWS, salted_join
 from quillgrid.session import materialise
 
@@ -33,12 +36,13 @@ _SMALL_UNIT = 64
 _DEEPEST = 40
 
 
-def _square_sum(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x * x)
+def _square_sum(parts: Sequence[Column]) -> Column:
+    """Sum of squares, written out so that it stays inside code generation."""
+    return balanced_sum([x * x for x in parts])
 
 
-def _distance2(a: Column, b: Column) -> Column:
-    return _square_sum(F.zip_with(a, b, lambda x, y: x - y))
+def _distance2(a: str, b: str, dimensions: int) -> Column:
+    return _square_sum([F.col(a)[i] - F.col(b)[i] for i in range(dimensions)])
 
 
 def _sub_cell(coords: Column, side: float, level: int) -> Column:
@@ -53,28 +57,40 @@ def _widest(points: DataFrame, dimensions: int) -> list[int]:
     return sorted(ranked[:_GRID_DIMENSIONS])
 
 
-def _neighbour_cells(cells: DataFrame, dims: list[int], reach: int, eps: float, side: float) -> DataFrame:
-    """Pairs ``a, b`` of different cells (each pair once) that could hold points within ``eps``."""
+def _neighbour_cells(
+    cells: DataFrame, dims: list[int], dimensions: int, reach: int, eps: float, side: float, hot_rows: int, rows: int
+) -> DataFrame:
+    """Pairs ``a, b`` of different cells (each pair once) that could hold points within ``eps``.
+
+    Cells lie in blocks of ``reach`` cells; each looks at its own block and the
+    half of the surrounding ones that comes after it.
+    """
+    steps = [s for s in product((-1, 0, 1), repeat=len(dims)) if s >= (0,) * len(dims)]
     block = [F.floor(F.col("cell")[i] / reach).cast("bigint") for i in dims]
-    homes = cells.select(F.col("cid").alias("b"), F.col("cell").alias("cell_b"), *[
-        c.alias(f"g{n}") for n, c in enumerate(block)
-    ])
-    probes = cells.select(F.col("cid").alias("a"), F.col("cell").alias("cell_a"), *[
-        c.alias(f"h{n}") for n, c in enumerate(block)
-    ])
-    for n in range(len(dims)):
-        near = F.array(*[F.col(f"h{n}") + step for step in (-1, 0, 1)])
-        probes = probes.withColumn(f"g{n}", F.explode(near)).drop(f"h{n}")
-    gap = F.zip_with("cell_a", "cell_b", lambda x, y: F.greatest(F.abs(x - y) - 1, F.lit(0)) * side)
+    keys = [f"g{n}" for n in range(len(dims))]
+    homes = cells.select(
+        F.col("cid").alias("b"), F.col("cell").alias("cell_b"), *[c.alias(k) for c, k in zip(block, keys, strict=True)]
+    )
+    offsets = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
+    probes = cells.withColumn("step", F.explode(offsets)).select(
+        F.col("cid").alias("a"),
+        F.col("cell").alias("cell_a"),
+        *[(c + F.col("step")[n]).alias(k) for n, (c, k) in enumerate(zip(block, keys, strict=True))],
+        (F.array_max(F.transform("step", F.abs)) == 0).alias("same"),
+    )
+    met = salted_join(probes, homes, keys, spread=[F.col("a")], hot_rows=hot_rows, rows=rows * len(steps))
+    gaps = [
+        F.greatest(F.abs(F.col("cell_a")[i] - F.col("cell_b")[i]) - 1, F.lit(0)) * side for i in range(dimensions)
+    ]
     limit = eps * eps * (1 + 1e-9)
-    return (
-        probes.join(homes, [f"g{n}" for n in range(len(dims))])
-        .filter((F.col("a") < F.col("b")) & (_square_sum(gap) <= limit))
-        .select("a", "b")
+    return met.filter((~F.col("same") | (F.col("a") < F.col("b"))) & (_square_sum(gaps) <= limit)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
 
 
-def _core_points(points: DataFrame, cells: DataFrame, pairs: DataFrame, eps: float, k: int, hot_rows: int) -> DataFrame:
+def _core_points(
+    points: DataFrame, pairs: DataFrame, dimensions: int, eps: float, k: int, hot_rows: int, rows: int
+) -> DataFrame:
     """Points with at least ``k`` points within ``eps``.
 
     Only points of cells with fewer than ``k`` points look at their neighbours,
@@ -87,10 +103,15 @@ def _core_points(points: DataFrame, cells: DataFrame, pairs: DataFrame, eps: flo
         F.col("pt").alias("probe"), F.col("coords").alias("probe_coords"), F.col("b").alias("cid")
     )
     met = salted_join(
-        points.select("cid", "pt", "coords", "weight"), probes, ["cid"], spread=[F.col("pt")], hot_rows=hot_rows
+        points.select("cid", "pt", "coords", "weight"),
+        probes,
+        ["cid"],
+        spread=[F.col("pt")],
+        hot_rows=hot_rows,
+        rows=rows,
     )
     near = (
-        met.filter(_distance2(F.col("coords"), F.col("probe_coords")) <= eps * eps)
+        met.filter(_distance2("coords", "probe_coords", dimensions) <= eps * eps)
         .groupBy(F.col("probe").alias("pt"))
         .agg(F.sum("weight").alias("near"))
     )
@@ -116,7 +137,9 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
-def _linked_cells(core: DataFrame, pairs: DataFrame, eps: float, side: float, dimensions: int, hot_rows: int) -> DataFrame:
+def _linked_cells(
+    core: DataFrame, pairs: DataFrame, eps: float, side: float, dimensions: int, hot_rows: int, rows: int
+) -> DataFrame:
     """Pairs ``a, b`` of cells with core points within ``eps`` of each other.
 
     A pair of units is settled by its bounds where possible, and otherwise split
@@ -130,22 +153,17 @@ def _linked_cells(core: DataFrame, pairs: DataFrame, eps: float, side: float, di
         .join(_prefixed(units, "b"), F.col("b") == F.col("b_cid"))
         .drop("a", "b")
     )
+    gaps = [
+        (F.col("a_hi")[i] - F.col("b_lo")[i], F.col("b_hi")[i] - F.col("a_lo")[i]) for i in range(dimensions)
+    ]
+    farthest = [F.greatest(p, q) for p, q in gaps]
+    nearest = [F.greatest(-p, -q, F.lit(0.0)) for p, q in gaps]
     linked = None
     parent = whole.withColumn("parent", F.col("sub"))
     for level in range(1, _DEEPEST + 1):
-        far = F.zip_with(
-            F.zip_with("a_hi", "b_lo", lambda h, l: h - l),
-            F.zip_with("b_hi", "a_lo", lambda h, l: h - l),
-            lambda p, q: F.greatest(p, q),
-        )
-        near = F.zip_with(
-            F.zip_with("a_lo", "b_hi", lambda l, h: l - h),
-            F.zip_with("b_lo", "a_hi", lambda l, h: l - h),
-            lambda p, q: F.greatest(p, q, F.lit(0.0)),
-        )
         rated = materialise(
-            candidates.withColumn("far", _square_sum(far))
-            .filter(_square_sum(near) <= limit)
+            candidates.filter(_square_sum(nearest) <= limit)
+            .withColumn("far", _square_sum(farthest))
             .select(
                 "a_cid", "a_sub", "b_cid", "b_sub",
                 (F.col("far") <= limit).alias("sure"),
@@ -159,10 +177,10 @@ def _linked_cells(core: DataFrame, pairs: DataFrame, eps: float, side: float, di
         left = parent.select(F.col("cid").alias("a_cid"), F.col("sub").alias("a_sub"), F.col("coords").alias("a_coords"))
         right = parent.select(F.col("cid").alias("b_cid"), F.col("sub").alias("b_sub"), F.col("coords").alias("b_coords"))
         sides = salted_join(left, compare.select("a_cid", "a_sub", "b_cid", "b_sub"), ["a_cid", "a_sub"],
-                            spread=[F.col("a_coords")], hot_rows=hot_rows)
+                            spread=[F.col("a_coords")], hot_rows=hot_rows, rows=rows)
         close = (
             salted_join(sides, right, ["b_cid", "b_sub"], spread=[F.col("a_coords")], hot_rows=hot_rows)
-            .filter(_distance2(F.col("a_coords"), F.col("b_coords")) <= limit)
+            .filter(_distance2("a_coords", "b_coords", dimensions) <= limit)
             .select("a_cid", "b_cid")
             .distinct()
         )
@@ -218,16 +236,17 @@ def density_clusters(
 
     merged = rows.groupBy("coords").agg(F.min("id").alias("pt"), F.count(F.lit(1)).alias("weight"))
     placed = materialise(merged.withColumn("cell", _sub_cell(F.col("coords"), side, 0)))
+    count = placed.count()
     cells = placed.groupBy("cell").agg(F.min("pt").alias("cid"), F.sum("weight").alias("cell_weight"))
     cells = materialise(cells)
-    points = salted_join(placed, cells, ["cell"], spread=[F.col("pt")], hot_rows=hot_rows).drop("cell")
+    points = salted_join(placed, cells, ["cell"], spread=[F.col("pt")], hot_rows=hot_rows, rows=count).drop("cell")
     points = materialise(points)
 
     dims = _widest(points, dimensions)
-    pairs = materialise(_neighbour_cells(cells, dims, reach, eps, side))
-    core = materialise(_core_points(points, cells, pairs, eps, k, hot_rows))
+    pairs = materialise(_neighbour_cells(cells, dims, dimensions, reach, eps, side, hot_rows, count))
+    core = materialise(_core_points(points, pairs, dimensions, eps, k, hot_rows, count))
 
-    edges = _linked_cells(core, pairs, eps, side, dimensions, hot_rows)
+    edges = _linked_cells(core, pairs, eps, side, dimensions, hot_rows, count)
     components = connected_components(edges, hot_rows)
     core_cells = core.groupBy("cid").agg(F.min("pt").alias("first"), F.sum("weight").alias("size"))
     labelled = core_cells.join(components, core_cells["cid"] == components["node"], "left").withColumn(
@@ -236,10 +255,10 @@ def density_clusters(
     sizes = labelled.groupBy("component").agg(F.min("first").alias("cluster"), F.sum("size").alias("members"))
     kept = sizes.filter(F.col("members") >= min_cluster_size).select("component", "cluster")
     by_cell = materialise(
-        salted_join(labelled.select("component", "cid"), kept, ["component"], spread=[F.col("cid")], hot_rows=hot_rows)
+        salted_join(labelled.select("component", "cid"), kept, ["component"], spread=[F.col("cid")], hot_rows=hot_rows, rows=count)
         .select("cid", "cluster")
     )
-    by_point = salted_join(core.select("cid", "coords"), by_cell, ["cid"], spread=[F.col("coords")], hot_rows=hot_rows)
+    by_point = salted_join(core.select("cid", "coords"), by_cell, ["cid"], spread=[F.col("coords")], hot_rows=hot_rows, rows=count)
     out = salted_join(
         rows, by_point.select("coords", "cluster"), ["coords"], spread=[F.col("id")], how="left", hot_rows=hot_rows
     )
@@ -259,18 +278,21 @@ def layout_2d(vectors: DataFrame, id_col: str = "id", vector_col: str = "coords"
 
 
 def cluster_documents(
-    documents: DataFrame, eps: float, min_cluster_size: int = 4, *, file_col: str = "file", vector_col: str = "embedding"
+    documents: DataFrame,
+    eps: float,
+    min_cluster_size: int = 4,
+    *,
+    id_col: str = "doc_id",
+    file_col: str = "file",
+    vector_col: str = "embedding",
 ) -> DataFrame:
     """The clustering job: ``file, cluster, x, y`` for documents with an embedding.
 
     Clusters are formed on the full vectors, not on the layout.
     """
-    numbered = documents.select(F.xxhash64(file_col).alias("id"), F.col(file_col).alias("file"), F.col(vector_col).alias("coords"))
-    clusters = density_clusters(numbered, eps, min_cluster_size)
-    layout = layout_2d(numbered)
-    return (
-        numbered.select("id", "file")
-        .join(clusters, "id")
-        .join(layout, "id")
-        .select("file", "cluster", "x", "y")
-    )
+    vectors = documents.select(F.col(id_col).alias("id"), F.col(file_col).alias("file"), F.col(vector_col).alias("coords"))
+    # The user's model runs once, not once per step.
+    vectors = materialise(vectors.filter(F.col("coords").isNotNull()))
+    clusters = density_clusters(vectors, eps, min_cluster_size)
+    layout = layout_2d(vectors)
+    return vectors.select("id", "file").join(clusters, "id").join(layout, "id").select("file", "cluster", "x", "y")

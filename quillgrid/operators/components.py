@@ -14,10 +14,10 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), total).first())
 
 
-def _with_minimum(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _with_minimum(edges: DataFrame, hot_rows: int, rows: int) -> DataFrame:
     """Edges ``u, v`` with ``m``, the smallest of ``u`` and its neighbours."""
     smallest = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return salted_join(edges, smallest, ["u"], spread=[F.col("v")], hot_rows=hot_rows)
+    return salted_join(edges, smallest, ["u"], spread=[F.col("v")], hot_rows=hot_rows, rows=rows)
 
 
 def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -35,13 +35,14 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            _with_minimum(both, hot_rows)
+            _with_minimum(both, hot_rows, 2 * before[0])
             .filter("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
         large = materialise(large)
-        hung = _with_minimum(large, hot_rows)
+        # A large-star step never adds edges.
+        hung = _with_minimum(large, hot_rows, 2 * before[0])
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         stars = materialise(small.unionByName(hung.select("u", F.col("m").alias("v"))).distinct())
         after = _fingerprint(stars)

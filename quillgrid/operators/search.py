@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _sum(terms: Sequence[Column]) -> Column:
+def balanced_sum(terms: Sequence[Column]) -> Column:
     """Balanced sum, so that the expression stays shallow for long vectors."""
     terms = list(terms)
     while len(terms) > 1:
@@ -22,8 +22,8 @@ def _sum(terms: Sequence[Column]) -> Column:
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity with a fixed vector, written out per element; NULL for a zero vector."""
     items = [F.get(vector, F.lit(i)).cast("double") for i in range(len(query))]
-    dot = _sum([x * float(q) for x, q in zip(items, query, strict=True)])
-    norm = F.sqrt(_sum([x * x for x in items])) * math.sqrt(sum(q * q for q in query))
+    dot = balanced_sum([x * float(q) for x, q in zip(items, query, strict=True)])
+    norm = F.sqrt(balanced_sum([x * x for x in items])) * math.sqrt(sum(q * q for q in query))
     return F.when(norm > 0, dot / norm)
 
 

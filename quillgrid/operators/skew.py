@@ -36,14 +36,17 @@ def salted_join(
     spread: Sequence[Column],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join on ``keys``; rows of a hot left key are spread over parts by a hash of ``spread``.
 
     The matching right rows are copied to every part. ``spread`` must name
     columns that tell the left rows of one key apart. ``how`` is ``inner`` or
-    ``left``; the columns of ``keys`` must not be NULL.
+    ``left``; the columns of ``keys`` must not be NULL. ``rows`` is an upper
+    bound of the left rows, if one is known: a small one saves the count.
     """
-    hot = hot_keys(left, keys, hot_rows)
+    small = rows is not None and rows <= hot_rows
+    hot = None if small else hot_keys(left, keys, hot_rows)
     if hot is None:
         return left.join(right, list(keys), how)
     hot = F.broadcast(hot)

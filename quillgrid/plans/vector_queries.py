@@ -9,6 +9,7 @@ from quillgrid.operators import cluster as cl
 from quillgrid.operators.search import top_k
 from quillgrid.plans import views as v
 from quillgrid.plans.views import with_views
+from quillgrid.sources.files import embed
 
 EPS, MIN_SIZE = 0.2, 4
 
@@ -17,26 +18,63 @@ def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cl.density_clusters(v.points(spark, folder), EPS, MIN_SIZE)
 
 
-DENSITY_CLUSTERS_SQL = with_views("fx_points", f"""
-, near as (select a.id, b.id other from fx_points a join fx_points b
-  on b.px between a.px - {EPS} and a.px + {EPS} and (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= {EPS} * {EPS}),
-core as (select id from near group by id having count(*) >= {MIN_SIZE}),
-links as (select id, other from near where id in (from core) and other in (from core)),
-reach(id, other) as (select id, id from core
- union select r.id, l.other from reach r join links l on l.id = r.other),
+def _components_sql(close: str, k: int) -> str:
+    """CTEs from the pairs ``near(id, other)`` to ``clustered(id, cluster)`` of the core points."""
+    return f""",
+near as materialized ({close}),
+core as materialized (select id from near group by id having count(*) >= {k}),
+links as materialized (select id, other from near where id in (from core) and other in (from core)),
+reach(id, other) as (select id, id from core union select r.id, l.other from reach r join links l on l.id = r.other),
 roots as (select id, min(other) root from reach group by id),
-sized as (select root, count(*) n from roots group by root)
-select p.id, coalesce(case when n >= {MIN_SIZE} then r.root end, -1) cluster
-from fx_points p left join roots r on r.id = p.id left join sized s on s.root = r.root""", recursive=True).replace(")\n\n,", "),")
+clustered as (select id, root cluster from roots where root in (select root from roots group by root having count(*) >= {k}))"""
+
+
+DENSITY_CLUSTERS_SQL = with_views("fx_points", "", recursive=True).rstrip() + _components_sql(
+    f"""select a.id, b.id other from fx_points a join fx_points b on b.px between a.px - {EPS} and a.px + {EPS}
+  and (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= {EPS} * {EPS}""", MIN_SIZE) + """
+select id, coalesce(cluster, -1) cluster from fx_points p left join clustered c using (id)"""
+
+LETTERS = "aeionrst"
+DOC_EPS, DOC_MIN_SIZE = 0.005, 3
+
+
+def letter_model():
+    """A stand-in for a user's embedding model: shares of eight letters in the whole text."""
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[t.count(c) / len(t) for c in LETTERS] for t in texts], dtype="float32")
+
+    return predict
+
+
+def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    docs = v.table(spark, folder, "documents").select("doc_id", "text")
+    return embed(docs, letter_model, input_col="text").drop("text")
 
 
 def cluster_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole job on full 64-dimensional vectors; the layout's columns are rounded away."""
-    docs = v.table(spark, folder, "embeddings").select(
-        F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("file"), "embedding"
-    )
-    clusters = cl.cluster_documents(docs, eps=0.9, min_cluster_size=4)
-    return clusters.select("file", (F.col("cluster") == cl.NOISE).alias("noise"), "x", "y")
+    """The whole job: embed, cluster, lay out. Coordinates have no SQL twin, so only their presence is shown."""
+    docs = document_vectors(spark, folder).withColumn("file", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    clusters = cl.cluster_documents(docs, DOC_EPS, DOC_MIN_SIZE)
+    return clusters.select("file", "cluster", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
+
+
+_LETTERS_SQL = ", ".join(f"((length(text) - length(replace(text, '{c}', ''))) / length(text))::float::double" for c in LETTERS)
+CLUSTER_DOCUMENTS_SQL = f"with recursive vecs as materialized (select doc_id id, [{_LETTERS_SQL}] vec from documents)" + _components_sql(
+    f"""select a.id, b.id other from vecs a join vecs b on b.vec[1] between a.vec[1] - {DOC_EPS} and a.vec[1] + {DOC_EPS}
+  and list_distance(a.vec, b.vec) <= {DOC_EPS}""", DOC_MIN_SIZE) + """
+select concat('doc/', id) file, coalesce(cluster, -1) cluster, true placed from vecs left join clustered using (id)"""
+
+
+def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = document_vectors(spark, folder)
+    return vectors.select("doc_id", *[F.col("embedding")[i].alias(f"share_{c}") for i, c in enumerate(LETTERS)])
+
+
+EMBED_DOCUMENTS_SQL = "select doc_id, " + ", ".join(
+    f"((length(text) - length(replace(text, '{c}', ''))) / length(text))::float share_{c}" for c in LETTERS
+) + " from documents"
 
 
 def layout_2d(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,10 +98,13 @@ order by score desc, vec_id limit 100"""
 QUERIES = {
     "density_clusters": density_clusters,
     "cluster_documents": cluster_documents,
+    "embed_documents": embed_documents,
     "layout_2d": layout_2d,
     "semantic_topk": semantic_topk,
 }
 ORACLES = {
     "density_clusters": DENSITY_CLUSTERS_SQL,
+    "cluster_documents": CLUSTER_DOCUMENTS_SQL,
+    "embed_documents": EMBED_DOCUMENTS_SQL,
     "semantic_topk": SEMANTIC_TOPK_SQL,
 }
