@@ -24,7 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr(
+    return pages_of(table(spark, folder, "documents"))
+
+
+def pages_of(documents: DataFrame) -> DataFrame:
+    return documents.selectExpr(
         "doc_id",
         "explode(sequence(0, 2 * cast((size(split(text, '\n')) + 15) div 16 as int) - 1)) page_number",
         "case when n_chars < 40 then 0.0D when lang = 'de' then 792.0D else 612.0D end width",
@@ -143,22 +147,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def source_listing(spark: SparkSession, folder: str) -> DataFrame:
     """A file per order and a folder per customer with orders."""
-    orders = table(spark, folder, "orders").selectExpr(
-        "o_custkey",
-        "concat('f', cast(o_orderkey as string), case when o_orderkey % 3 = 0 then '.PDF'"
-        " when o_orderkey % 3 = 1 then '.pdf' else '.txt' end) name",
-        "cast(o_orderkey as string) rev",
-        "o_orderdate",
-        "o_totalprice",
-    )
-    entries = orders.selectExpr(
-        "concat('/Docs/C', cast(o_custkey as string), '/', name) path_display",
-        "name",
-        "true is_file",
-        "rev",
-        "o_orderdate server_modified",
-        "cast(floor(o_totalprice) as bigint) size",
-    )
+    orders = table(spark, folder, "orders")
     folders = orders.select("o_custkey").distinct().selectExpr(
         "concat('/Docs/C', cast(o_custkey as string)) path_display",
         "concat('C', cast(o_custkey as string)) name",
@@ -167,7 +156,24 @@ def source_listing(spark: SparkSession, folder: str) -> DataFrame:
         "cast(null as timestamp_ntz) server_modified",
         "cast(null as bigint) size",
     )
-    return entries.unionByName(folders)
+    return source_files(orders).unionByName(folders)
+
+
+def source_files(orders: DataFrame) -> DataFrame:
+    return orders.withColumn(
+        "name",
+        F.expr(
+            "concat('f', cast(o_orderkey as string), case when o_orderkey % 3 = 0 then '.PDF'"
+            " when o_orderkey % 3 = 1 then '.pdf' else '.txt' end)"
+        ),
+    ).selectExpr(
+        "concat('/Docs/C', cast(o_custkey as string), '/', name) path_display",
+        "name",
+        "true is_file",
+        "cast(o_orderkey as string) rev",
+        "o_orderdate server_modified",
+        "cast(floor(o_totalprice) as bigint) size",
+    )
 
 
 def target_listing(spark: SparkSession, folder: str) -> DataFrame:
