@@ -268,7 +268,7 @@ def density_clusters(
 def layout_2d(vectors: DataFrame, id_col: str = "id", vector_col: str = "coords") -> DataFrame:
     """``id, x, y``: the first two principal components, signs fixed by the largest loading."""
     data = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col)).alias("v"))
-    if data.isEmpty():
+    if data.limit(2).count() < 2:  # one point has no spread
         return data.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     model = PCA(k=2, inputCol="v", outputCol="p").fit(data)
     loadings = model.pc.toArray()
