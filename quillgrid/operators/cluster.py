@@ -107,6 +107,7 @@ def _core_points(
         probes,
         ["cid"],
         spread=[F.col("pt")],
+        spread_right=[F.col("probe")],
         hot_rows=hot_rows,
         rows=rows,
     )
@@ -177,7 +178,8 @@ def _linked_cells(
         left = parent.select(F.col("cid").alias("a_cid"), F.col("sub").alias("a_sub"), F.col("coords").alias("a_coords"))
         right = parent.select(F.col("cid").alias("b_cid"), F.col("sub").alias("b_sub"), F.col("coords").alias("b_coords"))
         sides = salted_join(left, compare.select("a_cid", "a_sub", "b_cid", "b_sub"), ["a_cid", "a_sub"],
-                            spread=[F.col("a_coords")], hot_rows=hot_rows, rows=rows)
+                            spread=[F.col("a_coords")], spread_right=[F.col("b_cid"), F.col("b_sub")],
+                            hot_rows=hot_rows, rows=rows)
         close = (
             salted_join(sides, right, ["b_cid", "b_sub"], spread=[F.col("a_coords")], hot_rows=hot_rows)
             .filter(_distance2("a_coords", "b_coords", dimensions) <= limit)

@@ -183,7 +183,7 @@ def table_members(blocks: DataFrame, labelled: DataFrame, zoom: float = 1.0, num
     x = g.midpoint(F.col("x0"), F.col("x1"))
     y = g.midpoint(F.col("y0"), F.col("y1"))
     members = point_in_box_join(
-        blocks, tables, ["doc_id", "page_number"], x, y, spread=[F.col("block_no")]
+        blocks, tables, ["doc_id", "page_number"], x, y, spread=[F.col("block_no")], spread_boxes=[F.col("det_no")]
     )
     if not numbered:
         return members

@@ -2,7 +2,7 @@
 
 A plain ``row_number`` window puts a whole group into one task. Here the rows
 are range-partitioned on group and order first, so a large group is spread over
-many segments; only one small summary row per segment is needed to turn local
+many segments; at most two summary rows per segment are needed to turn local
 numbers into positions within the whole group.
 """
 
@@ -20,6 +20,43 @@ from quillgrid.session import materialise
 _SEGMENT = "__segment"
 
 
+def _same(left: str, names: Sequence[str], right: str) -> Column:
+    pairs = [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
+    return reduce(and_, pairs)
+
+
+def _spanning(rows: DataFrame, numbered: DataFrame, keys: Sequence[str], neighbour: str | None) -> DataFrame:
+    """What a segment must know of the rest of its first and last group.
+
+    Only these two groups can go on in another segment, so there are at most two
+    rows per segment, however large the table is.
+    """
+    names = [_SEGMENT, *keys]
+    if keys:
+        group = F.struct(*keys)
+        ends = rows.groupBy(_SEGMENT).agg(F.array(F.min(group), F.max(group)).alias("__ends"))
+        ends = ends.select(_SEGMENT, F.explode(F.array_distinct("__ends")).alias("__end")).select(_SEGMENT, "__end.*")
+        numbered = numbered.alias("r").join(F.broadcast(ends).alias("e"), _same("r", names, "e"), "left_semi")
+    summary = [F.count(F.lit(1)).alias("__rows")]
+    if neighbour:
+        value = F.struct(neighbour)
+        summary += [
+            F.max(F.when(F.col("__local") == 1, value))[neighbour].alias("__first"),
+            F.max_by(value, "__local")[neighbour].alias("__last"),
+        ]
+    spans = numbered.groupBy(*names).agg(*summary)
+    across = Window.partitionBy(*keys).orderBy(_SEGMENT)
+    so_far = F.sum("__rows").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    added = {
+        "__before": F.coalesce(so_far, F.lit(0)),
+        "__all": F.sum("__rows").over(Window.partitionBy(*keys)),
+    }
+    if neighbour:
+        added["__left"] = F.lag("__last").over(across)
+        added["__right"] = F.lead("__first").over(across)
+    return spans.withColumns(added).drop("__rows", "__first", "__last")
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,55 +75,29 @@ def with_position(
     """
     group = [F.col(k) for k in keys]
     spread = df.repartitionByRange(*group, *order).withColumn(_SEGMENT, F.spark_partition_id())
-    # The segment of a row must be the same in both branches below.
+    # The segment of a row must be the same in all uses below.
     rows = materialise(spread)
 
     names = [_SEGMENT, *keys]
     local = Window.partitionBy(*names).orderBy(*order)
-    rows = rows.withColumn("__local", F.row_number().over(local))
-
-    summary = [F.count(F.lit(1)).alias("__rows")]
-    if neighbour:
-        rows = rows.withColumn("__lag", F.lag(neighbour).over(local)).withColumn(
-            "__lead", F.lead(neighbour).over(local)
-        )
-    # Segments of one group: at most one per range partition, so this window is small.
-    across = Window.partitionBy(*group).orderBy(_SEGMENT)
-    before = F.coalesce(
-        F.sum("__rows").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
+    inside = {"__local": F.row_number().over(local)}
+    if total or neighbour:
+        inside["__here"] = F.count(F.lit(1)).over(Window.partitionBy(*names))
     if neighbour:
-        edges = rows.groupBy(*names).agg(
-            *summary,
-            F.max(F.when(F.col("__local") == 1, F.struct(neighbour)))[neighbour].alias("__first"),
-            F.max_by(F.struct(neighbour), "__local")[neighbour].alias("__last"),
-        )
-        edges = edges.withColumn("__before_value", F.lag("__last").over(across)).withColumn(
-            "__after_value", F.lead("__first").over(across)
-        )
-    else:
-        edges = rows.groupBy(*names).agg(*summary)
-    edges = edges.withColumn("__before", before)
-    if total:
-        edges = edges.withColumn(
-            "__total", F.sum("__rows").over(Window.partitionBy(*group))
-        )
-
-    edges = edges.withColumnsRenamed({name: f"__edge_{name}" for name in names})
-    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"__edge_{name}")) for name in names])
-    joined = rows.join(edges, same, "inner")
-    out = [F.col(c) for c in df.columns]
-    out.append((F.col("__before") + F.col("__local")).cast("bigint").alias(position))
+        inside |= {"__lag": F.lag(neighbour).over(local), "__lead": F.lead(neighbour).over(local)}
+    numbered = rows.withColumns(inside)
+    spans = _spanning(rows, numbered if neighbour else rows, keys, neighbour)
+    # At most two rows per segment, see _spanning.
+    joined = numbered.alias("r").join(F.broadcast(spans).alias("s"), _same("r", names, "s"), "left")
+
+    out = [F.col(f"r.{c}").alias(c) for c in df.columns]
+    out.append((F.coalesce("__before", F.lit(0)) + F.col("__local")).cast("bigint").alias(position))
     if total:
-        out.append(F.col("__total").cast("bigint").alias(total))
+        out.append(F.coalesce("__all", "__here").cast("bigint").alias(total))
     if neighbour:
-        first, last = F.col("__local") == 1, F.col("__local") == F.col("__rows")
-        out.append(
-            F.when(first, F.col("__before_value")).otherwise(F.col("__lag")).alias(f"previous_{neighbour}")
-        )
-        out.append(
-            F.when(last, F.col("__after_value")).otherwise(F.col("__lead")).alias(f"next_{neighbour}")
-        )
+        first, last = F.col("__local") == 1, F.col("__local") == F.col("__here")
+        out.append(F.when(first, F.col("__left")).otherwise(F.col("__lag")).alias(f"previous_{neighbour}"))
+        out.append(F.when(last, F.col("__right")).otherwise(F.col("__lead")).alias(f"next_{neighbour}"))
     return joined.select(*out)
 
 

@@ -28,33 +28,53 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return counts.filter(F.col("__rows") > threshold).select(*keys, parts)
 
 
+def _marked(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], name: str) -> DataFrame:
+    """Add the number of parts of the row's key."""
+    if hot is None:
+        return df.withColumn(name, F.lit(1))
+    marks = F.broadcast(hot.withColumnRenamed("__parts", name))
+    return df.join(marks, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     *,
     spread: Sequence[Column],
+    spread_right: Sequence[Column] = (),
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     rows: int | None = None,
 ) -> DataFrame:
     """Join on ``keys``; rows of a hot left key are spread over parts by a hash of ``spread``.
 
-    The matching right rows are copied to every part. ``spread`` must name
-    columns that tell the left rows of one key apart. ``how`` is ``inner`` or
+    The matching right rows are copied to every part. With ``spread_right``,
+    hot right keys are split the same way (inner joins only). Both must name
+    columns that tell the rows of one key apart. ``how`` is ``inner`` or
     ``left``; the columns of ``keys`` must not be NULL. ``rows`` is an upper
     bound of the left rows, if one is known: a small one saves the count.
     """
+    if spread_right and how != "inner":
+        raise ValueError("only an inner join can split its right side")
     small = rows is not None and rows <= hot_rows
-    hot = None if small else hot_keys(left, keys, hot_rows)
-    if hot is None:
+    hot_left = None if small else hot_keys(left, keys, hot_rows)
+    hot_right = hot_keys(right, keys, hot_rows) if spread_right else None
+    if hot_left is None and hot_right is None:
         return left.join(right, list(keys), how)
-    hot = F.broadcast(hot)
-    parts = F.coalesce(F.col("__parts"), F.lit(1))
-    left = left.join(hot, list(keys), "left").withColumn(
-        "__salt", F.pmod(F.xxhash64(*spread), parts).cast("int")
-    )
-    right = right.join(hot, list(keys), "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    return left.drop("__parts").join(right.drop("__parts"), [*keys, "__salt"], how).drop("__salt")
+
+    def part(columns: Sequence[Column], count: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.col(count)).cast("int") if columns else F.lit(0)
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    salted = []
+    for df, own, own_part, other_part in (
+        (left, spread, "__left_part", "__right_part"),
+        (right, spread_right, "__right_part", "__left_part"),
+    ):
+        both = _marked(_marked(df, hot_left, keys, "__left_parts"), hot_right, keys, "__right_parts")
+        placed = both.withColumn(own_part, part(own, own_part + "s")).withColumn(other_part, every(other_part + "s"))
+        salted.append(placed.drop("__left_parts", "__right_parts"))
+    return salted[0].join(salted[1], [*keys, "__left_part", "__right_part"], how).drop("__left_part", "__right_part")

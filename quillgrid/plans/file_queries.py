@@ -13,6 +13,7 @@ from quillgrid.operators.entities import fold_to_map
 from quillgrid.operators.numbering import slice_rows, with_position
 from quillgrid.plans import views as v
 from quillgrid.plans.views import with_views
+from quillgrid.session import materialise
 
 ROOT, PREFIX = "/Docs", "in/"
 
@@ -67,6 +68,7 @@ select path_display, replace(concat('copy/', ltrim(replace(ltrim(path_display, '
 def sync_summary(spark: SparkSession, folder: str) -> DataFrame:
     source = v.source_listing(spark, folder)
     plan = sy.plan_sync(source, v.target_listing(spark, folder), root=ROOT, prefix=PREFIX)
+    plan = materialise(plan.select("path_display", "key", "action"))  # read twice below
     summary = sy.sync_summary(source, plan)
     return summary.withColumn("uploaded_keys", F.array_join("uploaded_keys", ","))
 

@@ -68,6 +68,17 @@ def test_salted_join_equals_join(spark, skewed, how):
     assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, want.select("k", "v", "w").collect()))
 
 
+@pytest.mark.parametrize("right_hot", [5, 40])
+def test_both_sides_salted(spark, skewed, right_hot):
+    left = skewed.filter("k is not null")
+    right = spark.range(right_hot).selectExpr("'hot' k", "id w").unionByName(spark.range(3).selectExpr("'k1' k", "id w"))
+    got = salted_join(left, right, ["k"], spread=[F.col("v")], spread_right=[F.col("w")], hot_rows=20)
+    want = left.join(right, ["k"])
+    assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, want.select("k", "v", "w").collect()))
+    with pytest.raises(ValueError):
+        salted_join(left, right, ["k"], spread=[F.col("v")], spread_right=[F.col("w")], how="left")
+
+
 def test_hot_keys_are_few(spark, skewed):
     hot = hot_keys(skewed.filter("k is not null"), ["k"], 50)
     assert [tuple(r) for r in hot.collect()] == [("hot", 8)]
