@@ -217,7 +217,7 @@ def page_counts(spark: SparkSession, folder: str) -> DataFrame:
     return d.page_counts(v.pages(spark, folder))
 
 
-PAGE_COUNTS_SQL = with_views("fx_pages", "select doc_id, max(page_number) + 1 page_count from fx_pages group by doc_id")
+PAGE_COUNTS_SQL = with_views("fx_pages", "select doc_id, cast(max(page_number) + 1 as bigint) page_count from fx_pages group by doc_id")
 
 
 def totals(spark: SparkSession, folder: str) -> DataFrame:
