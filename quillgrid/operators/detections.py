@@ -95,10 +95,8 @@ def group_by_label(labelled: DataFrame, chunk: int = 1024) -> DataFrame:
     entry = F.struct("det_no", "bbox", "conf")
     grouped = labelled.groupBy(
         "doc_id", "page_number", "label", F.floor((F.col("det_no") - 1) / chunk).cast("int").alias("chunk_no")
-    ).agg(F.array_sort(F.collect_list(entry)).alias("__boxes"))
-    return grouped.withColumn("boxes", F.transform("__boxes", lambda b: b["bbox"])).withColumn(
-        "confs", F.transform("__boxes", lambda b: b["conf"])
-    ).drop("__boxes")
+    ).agg(F.sort_array(F.collect_list(entry)).alias("__boxes"))
+    return grouped.withColumns({"boxes": F.col("__boxes.bbox"), "confs": F.col("__boxes.conf")}).drop("__boxes")
 
 
 def labelled_array(boxes: Column, model: str = LAYOUT_MODEL) -> Column:

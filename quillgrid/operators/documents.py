@@ -159,7 +159,7 @@ def document_profiles(docs: DataFrame, pages: DataFrame, blocks: DataFrame, limi
     """
     metas = page_metadata(head_pages(pages, limit), head_pages(blocks, limit))
     fields = [c for c in metas.columns if c != "doc_id"]
-    packed = metas.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pages"))
+    packed = metas.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pages"))
     return (
         document_metadata(docs)
         .join(packed, "doc_id", "left")

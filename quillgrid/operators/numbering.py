@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillgrid.session import materialise
 
 _SEGMENT = "__segment"
+# Spark's own limit for cutting groups before a row_number window (windowGroupLimitThreshold).
+_SHORT = 1000
 
 
 def _same(left: str, names: Sequence[str], right: str) -> Column:
@@ -108,14 +110,17 @@ def slice_rows(
     start = max(start, 0)
     if stop is not None and stop <= start:
         return df.filter(F.lit(False))
-    if stop is None:
+    if stop is not None and stop <= _SHORT:
+        if not keys:
+            return df.orderBy(*order).offset(start).limit(stop - start)
+        # With so low a bound on row_number every task cuts its groups before the shuffle.
+        numbered = df.withColumn("__position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
         numbered = with_position(df, keys, order, position="__position")
-        return numbered.filter(F.col("__position") > start).drop("__position")
-    if not keys:
-        return df.orderBy(*order).offset(start).limit(stop - start)
-    # A bound on row_number lets every task cut its groups before the shuffle.
-    ranked = df.withColumn("__position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter((F.col("__position") <= stop) & (F.col("__position") > start)).drop("__position")
+    kept = numbered.filter(F.col("__position") > start)
+    if stop is not None:
+        kept = kept.filter(F.col("__position") <= stop)
+    return kept.drop("__position")
 
 
 def batch_number(index: Column, size: int) -> Column:

@@ -65,8 +65,8 @@ def sync_summary(source: DataFrame, plan: DataFrame, failed_keys: DataFrame | No
         outcome.filter(uploaded)
         .orderBy("path_display")
         .limit(REPORTED_KEYS)
-        .agg(F.array_sort(F.collect_list(F.struct("path_display", "key"))).alias("k"))
-        .select(F.transform("k", lambda e: e["key"]).alias("k"))
+        .agg(F.sort_array(F.collect_list(F.struct("path_display", "key"))).alias("k"))
+        .select(F.col("k.key").alias("k"))
     )
     return outcome.agg(
         F.count_if(uploaded).alias("uploaded"),

@@ -106,7 +106,7 @@ def layout_detections(spark: SparkSession, folder: str) -> DataFrame:
         "2 * (x1 + 4) x2",
         "2 * (y1 + 4 + 90.0D * (length(text) % 3)) y2",
         "0.9D conf",
-        "cast(length(text) % 13 as int) cls",
+        "case when contains(text, ',') then 8 else 9 end cls",
     )
     return label_detections(found)
 

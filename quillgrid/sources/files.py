@@ -13,6 +13,11 @@ from quillgrid.functions.files import basename, has_suffix
 from quillgrid.functions.metadata import plain_path
 from quillgrid.operators.documents import with_identity
 
+# Hooks hand rows on in pieces of about this size.
+_ROWS_OUT = 1_000
+_BYTES_OUT = 32 * 1024 * 1024
+_FETCHED = ["key", "content", "content_type", "metadata", "error"]
+
 
 def scan_files(
     spark: SparkSession, folder: str, *, suffix: str = ".pdf", recursive: bool = True, case_sensitive: bool = False
@@ -59,14 +64,18 @@ def map_pages(pages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
 
 def explode_pages(documents: DataFrame, parse: Callable[[bytes], list[dict]], schema: str, id_col: str = "doc_id") -> DataFrame:
     """One row per page or block of each document, through a user's parser of the binary ``content``."""
-    fields = [part.strip().split()[0] for part in schema.split(",")]
+    names = [id_col, *[part.strip().split()[0] for part in schema.split(",")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[dict] = []
             for doc, content in zip(batch[id_col], batch["content"], strict=True):
-                rows = [{id_col: doc, **row} for row in parse(bytes(content))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=[id_col, *fields])
+                rows += [{id_col: doc, **row} for row in parse(bytes(content))]
+                if len(rows) >= _ROWS_OUT:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     key = documents.schema[id_col].dataType.simpleString()
     return documents.select(id_col, "content").mapInPandas(run, f"{id_col} {key}, {schema}")
@@ -84,23 +93,58 @@ def embed(documents: DataFrame, make_model: Callable[[], Callable], *, input_col
     return documents.withColumn("embedding", model(F.col(input_col)))
 
 
-def objects_to_upload(plan: DataFrame, contents: DataFrame, content_type: str = "application/pdf") -> DataFrame:
-    """``key, content, content_type, metadata`` of the planned uploads.
-
-    ``contents`` has ``path_display`` and ``content``.
-    """
+def _uploads(plan: DataFrame, content_type: str) -> DataFrame:
     stamp = F.date_format("client_modified", "yyyy-MM-dd'T'HH:mm:ss")
     metadata = F.map_filter(
         F.create_map(F.lit("dropbox_rev"), F.col("rev"), F.lit("dropbox_client_modified"), stamp),
         lambda _, v: v.isNotNull(),
     )
-    return (
-        plan.filter(F.col("action") != "skip")
-        .join(contents, "path_display")
-        .select("key", "content", F.lit(content_type).alias("content_type"), metadata.alias("metadata"))
+    return plan.filter(F.col("action") != "skip").select(
+        "path_display", "key", F.lit(content_type).alias("content_type"), metadata.alias("metadata")
     )
 
 
+def objects_to_upload(plan: DataFrame, contents: DataFrame, content_type: str = "application/pdf") -> DataFrame:
+    """``key, content, content_type, metadata`` of the planned uploads.
+
+    ``contents`` has ``path_display`` and ``content`` and is shuffled for the
+    join; ``fetch_objects`` leaves contents where they are read.
+    """
+    return _uploads(plan, content_type).join(contents, "path_display").select("key", "content", "content_type", "metadata")
+
+
+def fetch_objects(
+    plan: DataFrame, make_fetch: Callable[[], Callable[[str], bytes]], content_type: str = "application/pdf"
+) -> DataFrame:
+    """Read the planned uploads with a user's function from path to bytes, made once per task.
+
+    Adds ``error`` (NULL if the file was read): a file that cannot be read does
+    not fail the job. Only paths are shuffled, to spread the reads evenly.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetch = make_fetch()
+        for batch in batches:
+            held, rows = 0, []
+            for row in batch.itertuples(index=False):
+                content, error = None, None
+                try:
+                    content = fetch(row.path_display)
+                except Exception as e:  # counted, not raised
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((row.key, content, row.content_type, row.metadata, error))
+                held += len(content or b"")
+                if held >= _BYTES_OUT:
+                    yield pd.DataFrame(rows, columns=_FETCHED, dtype=object)
+                    held, rows = 0, []
+            if rows:
+                yield pd.DataFrame(rows, columns=_FETCHED, dtype=object)
+
+    uploads = _uploads(plan, content_type)
+    schema = "key string, content binary, content_type string, metadata map<string,string>, error string"
+    return uploads.repartition("path_display").mapInPandas(run, schema)
+
+
 def write_objects(objects: DataFrame, folder: str, mode: str = "append") -> None:
     objects.write.mode(mode).parquet(folder)
 

@@ -47,6 +47,11 @@ def test_whole_table(spark, skewed, many_partitions):
     assert all(r.position == r.v + 1 for r in got)
 
 
+def test_short_slices_cut_before_the_shuffle(skewed):
+    plan = slice_rows(skewed, ["k"], [F.col("v")], 5, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_slices(spark, skewed):
     def sizes(df):
         return {r.k: r["count"] for r in df.groupBy("k").count().collect()}
@@ -56,6 +61,8 @@ def test_slices(spark, skewed):
     assert sizes(slice_rows(skewed, ["k"], order, 390))["hot"] == 10
     assert sizes(slice_rows(skewed, ["k"], order, -4, 2))[None] == 2
     assert slice_rows(skewed, ["k"], order, 3, 3).count() == 0
+    assert sizes(slice_rows(skewed, ["k"], order, 300, 5000)) == sizes(slice_rows(skewed, ["k"], order, 300))
+    assert slice_rows(skewed.filter("k = 'hot'"), [], order, 10, 5000).count() == 390
     assert [r.v for r in slice_rows(skewed.filter("k = 'hot'"), [], order, 2, 5).collect()] == [2, 3, 4]
 
 

@@ -108,6 +108,27 @@ def test_objects(spark, tmp_path):
     assert (tmp_path / "k3").read_bytes() == b"p3" and not (tmp_path / "k2").exists()
 
 
+def test_fetch_counts_errors(spark, monkeypatch):
+    monkeypatch.setattr(src, "_BYTES_OUT", 3)
+    plan = spark.range(6).selectExpr(
+        "concat('p', id) path_display", "concat('k', id) key", "case when id = 5 then 'skip' else 'upload_new' end action",
+        "'r' rev", "timestamp_ntz '2024-01-02 03:04:05' client_modified",
+    )
+
+    def make_fetch():
+        def fetch(path):
+            if path == "p2":
+                raise OSError("gone")
+            return path.encode()
+
+        return fetch
+
+    got = {r.key: r for r in src.fetch_objects(plan, make_fetch).collect()}
+    assert set(got) == {"k0", "k1", "k2", "k3", "k4"}
+    assert got["k2"].content is None and got["k2"].error == "OSError: gone"
+    assert bytes(got["k3"].content) == b"p3" and got["k3"].error is None and got["k3"].metadata["dropbox_rev"] == "r"
+
+
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_cluster_report(spark, tmp_path, fmt):
     clusters = spark.createDataFrame([("a.pdf", 0, 1.0, 2.0), ("b.pdf", -1, 0.0, 0.5)], "file string, cluster bigint, x double, y double")
