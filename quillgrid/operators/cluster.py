@@ -15,8 +15,10 @@ through ever smaller sub-cells instead of pair by pair. The result is exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable
+from functools import reduce
 from itertools import product
+from operator import add, and_
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators.components import connected_components
-from quillgrid.operators.search import balanced_sum
+from quillgrid.operators.search import total
 from quillgrid.operators.skew import HOT_ROWS, salted_join
 from quillgrid.session import materialise
 
@@ -33,16 +35,45 @@ NOISE = -1
 _GRID_DIMENSIONS = 4
 # Two units of at most this many points are compared pair by pair.
 _SMALL_UNIT = 64
+# Distances of up to this many dimensions are written out; longer ones use array functions.
+_WRITTEN_OUT = 4
 _DEEPEST = 40
 
 
-def _square_sum(parts: Sequence[Column]) -> Column:
-    """Sum of squares, written out so that it stays inside code generation."""
-    return balanced_sum([x * x for x in parts])
+def _square_sum(parts: Column) -> Column:
+    return total(F.transform(parts, lambda x: x * x))
 
 
 def _distance2(a: str, b: str, dimensions: int) -> Column:
-    return _square_sum([F.col(a)[i] - F.col(b)[i] for i in range(dimensions)])
+    if dimensions > _WRITTEN_OUT:
+        return _square_sum(F.zip_with(a, b, lambda x, y: x - y))
+    steps = [F.col(a)[i] - F.col(b)[i] for i in range(dimensions)]
+    return reduce(add, [s * s for s in steps])
+
+
+def _gaps(pick: Callable[[Column, Column], Column]) -> Column:
+    """Per dimension, ``pick`` of how far one box's end lies beyond the other's start, both ways."""
+    return F.zip_with(
+        F.zip_with("a_hi", "b_lo", lambda hi, lo: hi - lo), F.zip_with("b_hi", "a_lo", lambda hi, lo: hi - lo), pick
+    )
+
+
+def _nearest2() -> Column:
+    """Squared distance between the closest points two boxes ``a`` and ``b`` could hold."""
+    return _square_sum(_gaps(lambda p, q: F.greatest(-p, -q, F.lit(0.0))))
+
+
+def _farthest2() -> Column:
+    """Squared distance between the farthest points two boxes ``a`` and ``b`` could hold."""
+    return _square_sum(_gaps(lambda p, q: F.greatest(p, q)))
+
+
+def _bounds(dimensions: int) -> list[Column]:
+    c = F.col("coords")
+    return [
+        F.array(*[F.min(c[i]) for i in range(dimensions)]).alias("lo"),
+        F.array(*[F.max(c[i]) for i in range(dimensions)]).alias("hi"),
+    ]
 
 
 def _sub_cell(coords: Column, side: float, level: int) -> Column:
@@ -58,7 +89,7 @@ def _widest(points: DataFrame, dimensions: int) -> list[int]:
 
 
 def _neighbour_cells(
-    cells: DataFrame, dims: list[int], dimensions: int, reach: int, eps: float, side: float, hot_rows: int, rows: int
+    cells: DataFrame, dims: list[int], reach: int, eps: float, hot_rows: int, rows: int
 ) -> DataFrame:
     """Pairs ``a, b`` of different cells (each pair once) that could hold points within ``eps``.
 
@@ -69,21 +100,26 @@ def _neighbour_cells(
     block = [F.floor(F.col("cell")[i] / reach).cast("bigint") for i in dims]
     keys = [f"g{n}" for n in range(len(dims))]
     homes = cells.select(
-        F.col("cid").alias("b"), F.col("cell").alias("cell_b"), *[c.alias(k) for c, k in zip(block, keys, strict=True)]
+        F.col("cid").alias("b"),
+        F.col("lo").alias("b_lo"),
+        F.col("hi").alias("b_hi"),
+        *[c.alias(k) for c, k in zip(block, keys, strict=True)],
     )
     offsets = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
     probes = cells.withColumn("step", F.explode(offsets)).select(
         F.col("cid").alias("a"),
-        F.col("cell").alias("cell_a"),
+        F.col("lo").alias("a_lo"),
+        F.col("hi").alias("a_hi"),
         *[(c + F.col("step")[n]).alias(k) for n, (c, k) in enumerate(zip(block, keys, strict=True))],
         (F.array_max(F.transform("step", F.abs)) == 0).alias("same"),
     )
     met = salted_join(probes, homes, keys, spread=[F.col("a")], hot_rows=hot_rows, rows=rows * len(steps))
-    gaps = [
-        F.greatest(F.abs(F.col("cell_a")[i] - F.col("cell_b")[i]) - 1, F.lit(0)) * side for i in range(dimensions)
+    # A few plain comparisons leave little for the full distance.
+    close = [
+        (F.col("a_lo")[i] - F.col("b_hi")[i] <= eps) & (F.col("b_lo")[i] - F.col("a_hi")[i] <= eps) for i in dims
     ]
-    limit = eps * eps * (1 + 1e-9)
-    return met.filter((~F.col("same") | (F.col("a") < F.col("b"))) & (_square_sum(gaps) <= limit)).select(
+    once = ~F.col("same") | (F.col("a") < F.col("b"))
+    return met.filter(reduce(and_, close, once) & (_nearest2() <= eps * eps)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
 
@@ -126,12 +162,7 @@ def _core_points(
 
 def _units(core: DataFrame, dimensions: int) -> DataFrame:
     """Point count and tight bounds per unit (``cid, sub``)."""
-    c = F.col("coords")
-    return core.groupBy("cid", "sub").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(c[i]) for i in range(dimensions)]).alias("lo"),
-        F.array(*[F.max(c[i]) for i in range(dimensions)]).alias("hi"),
-    )
+    return core.groupBy("cid", "sub").agg(F.count(F.lit(1)).alias("n"), *_bounds(dimensions))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -148,23 +179,18 @@ def _linked_cells(
     """
     limit = eps * eps
     whole = core.withColumn("sub", F.array().cast("array<bigint>"))
-    units = materialise(_units(whole, dimensions))
+    units = _units(whole, dimensions)
     candidates = (
         pairs.join(_prefixed(units, "a"), F.col("a") == F.col("a_cid"))
         .join(_prefixed(units, "b"), F.col("b") == F.col("b_cid"))
         .drop("a", "b")
     )
-    gaps = [
-        (F.col("a_hi")[i] - F.col("b_lo")[i], F.col("b_hi")[i] - F.col("a_lo")[i]) for i in range(dimensions)
-    ]
-    farthest = [F.greatest(p, q) for p, q in gaps]
-    nearest = [F.greatest(-p, -q, F.lit(0.0)) for p, q in gaps]
     linked = None
     parent = whole.withColumn("parent", F.col("sub"))
     for level in range(1, _DEEPEST + 1):
         rated = materialise(
-            candidates.filter(_square_sum(nearest) <= limit)
-            .withColumn("far", _square_sum(farthest))
+            candidates.filter(_nearest2() <= limit)
+            .withColumn("far", _farthest2())
             .select(
                 "a_cid", "a_sub", "b_cid", "b_sub",
                 (F.col("far") <= limit).alias("sure"),
@@ -188,9 +214,11 @@ def _linked_cells(
         )
         found = materialise(sure.unionByName(close).distinct())
         linked = found if linked is None else linked.unionByName(found)
+        if last or rated.filter("not sure and not small").isEmpty():
+            break
         # A pair found by its small units needs no further splitting.
         rest = materialise(open_pairs.filter("not small").join(found, ["a_cid", "b_cid"], "left_anti"))
-        if last or rest.isEmpty():
+        if rest.isEmpty():
             break
         open_cells = rest.select(F.col("a_cid").alias("cid")).unionByName(rest.select(F.col("b_cid").alias("cid"))).distinct()
         parent = materialise(
@@ -238,14 +266,18 @@ def density_clusters(
 
     merged = rows.groupBy("coords").agg(F.min("id").alias("pt"), F.count(F.lit(1)).alias("weight"))
     placed = materialise(merged.withColumn("cell", _sub_cell(F.col("coords"), side, 0)))
-    count = placed.count()
-    cells = placed.groupBy("cell").agg(F.min("pt").alias("cid"), F.sum("weight").alias("cell_weight"))
-    cells = materialise(cells)
-    points = salted_join(placed, cells, ["cell"], spread=[F.col("pt")], hot_rows=hot_rows, rows=count).drop("cell")
+    count, rows_in = placed.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    cells = materialise(
+        placed.groupBy("cell").agg(
+            F.min("pt").alias("cid"), F.sum("weight").alias("cell_weight"), *_bounds(dimensions)
+        )
+    )
+    of_cell = cells.select("cell", "cid", "cell_weight")
+    points = salted_join(placed, of_cell, ["cell"], spread=[F.col("pt")], hot_rows=hot_rows, rows=count).drop("cell")
     points = materialise(points)
 
     dims = _widest(points, dimensions)
-    pairs = materialise(_neighbour_cells(cells, dims, dimensions, reach, eps, side, hot_rows, count))
+    pairs = materialise(_neighbour_cells(cells, dims, reach, eps, hot_rows, count))
     core = materialise(_core_points(points, pairs, dimensions, eps, k, hot_rows, count))
 
     edges = _linked_cells(core, pairs, eps, side, dimensions, hot_rows, count)
@@ -256,13 +288,18 @@ def density_clusters(
     )
     sizes = labelled.groupBy("component").agg(F.min("first").alias("cluster"), F.sum("size").alias("members"))
     kept = sizes.filter(F.col("members") >= min_cluster_size).select("component", "cluster")
-    by_cell = materialise(
-        salted_join(labelled.select("component", "cid"), kept, ["component"], spread=[F.col("cid")], hot_rows=hot_rows, rows=count)
-        .select("cid", "cluster")
-    )
+    by_cell = salted_join(
+        labelled.select("component", "cid"), kept, ["component"], spread=[F.col("cid")], hot_rows=hot_rows, rows=count
+    ).select("cid", "cluster")
     by_point = salted_join(core.select("cid", "coords"), by_cell, ["cid"], spread=[F.col("coords")], hot_rows=hot_rows, rows=count)
     out = salted_join(
-        rows, by_point.select("coords", "cluster"), ["coords"], spread=[F.col("id")], how="left", hot_rows=hot_rows
+        rows,
+        by_point.select("coords", "cluster"),
+        ["coords"],
+        spread=[F.col("id")],
+        how="left",
+        hot_rows=hot_rows,
+        rows=rows_in,
     )
     return out.select("id", F.coalesce("cluster", F.lit(NOISE).cast("bigint")).alias("cluster"))
 
