@@ -241,7 +241,7 @@ def _linked_cells(
 
 
 def density_clusters(
-    vectors: DataFrame,
+    data: DataFrame,
     eps: float,
     min_cluster_size: int = 4,
     min_samples: int | None = None,
@@ -253,20 +253,23 @@ def density_clusters(
     """``id, cluster`` of every row; a cluster is named after its smallest id.
 
     Unlike HDBSCAN, ``eps`` is one cut for all clusters and is not chosen per
-    branch. ``min_samples`` defaults to ``min_cluster_size``.
+    branch. ``min_samples`` defaults to ``min_cluster_size``. Rows without a
+    vector are noise.
     """
     k = min_samples or min_cluster_size
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("coords"))
-    first = rows.select(F.size("coords")).first()
+    noise = F.lit(NOISE).cast("bigint")
+    rows = data.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("coords"))
+    vectors = rows.filter(F.col("coords").isNotNull())
+    first = vectors.select(F.size("coords")).first()
     if first is None:
-        return rows.select("id", F.col("id").cast("bigint").alias("cluster"))
+        return rows.select("id", noise.alias("cluster"))
     dimensions = first[0]
     side = eps / math.sqrt(dimensions) * (1 - 1e-9)
     reach = math.floor(eps / side) + 1
 
-    merged = rows.groupBy("coords").agg(F.min("id").alias("pt"), F.count(F.lit(1)).alias("weight"))
+    merged = vectors.groupBy("coords").agg(F.min("id").alias("pt"), F.count(F.lit(1)).alias("weight"))
     placed = materialise(merged.withColumn("cell", _sub_cell(F.col("coords"), side, 0)))
-    count, rows_in = placed.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    count = placed.count()
     cells = materialise(
         placed.groupBy("cell").agg(
             F.min("pt").alias("cid"), F.sum("weight").alias("cell_weight"), *_bounds(dimensions)
@@ -293,15 +296,17 @@ def density_clusters(
     ).select("cid", "cluster")
     by_point = salted_join(core.select("cid", "coords"), by_cell, ["cid"], spread=[F.col("coords")], hot_rows=hot_rows, rows=count)
     out = salted_join(
-        rows,
+        vectors,
         by_point.select("coords", "cluster"),
         ["coords"],
         spread=[F.col("id")],
         how="left",
         hot_rows=hot_rows,
-        rows=rows_in,
     )
-    return out.select("id", F.coalesce("cluster", F.lit(NOISE).cast("bigint")).alias("cluster"))
+    # Rows without a vector stay out of the join, where they would all meet in one task.
+    return out.select("id", F.coalesce("cluster", noise).alias("cluster")).unionByName(
+        rows.filter(F.col("coords").isNull()).select("id", noise.alias("cluster"))
+    )
 
 
 def layout_2d(vectors: DataFrame, id_col: str = "id", vector_col: str = "coords") -> DataFrame:

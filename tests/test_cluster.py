@@ -81,6 +81,15 @@ def test_empty_input_and_few_rows(spark):
     assert run(spark, {1: [0, 0], 2: [0, 0]}, 1.0, 4) == {1: -1, 2: -1}
 
 
+def test_rows_without_a_vector_are_noise(spark):
+    rows = [(i, [0.0, 0.1 * i]) for i in range(5)] + [(7, None), (8, None)]
+    df = spark.createDataFrame(rows, "id bigint, coords array<double>")
+    got = {r.id: r.cluster for r in cl.density_clusters(df, 0.15, 3, hot_rows=1).collect()}
+    assert got == brute_clusters(dict(rows[:5]), 0.15, 3, 3) | {7: -1, 8: -1}
+    only = cl.density_clusters(df.filter("id > 6"), 0.15, 3).collect()
+    assert [r.cluster for r in only] == [-1, -1]
+
+
 def union_find(edges):
     root = {}
 
