@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import fresh, sampled_texts, written
+from quillgrid.llm.common import fresh, sampled_texts, sliced, written
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 MAX_LABELLED = 20_000
 # Log weight below zero by which a text may miss being likelier under the target and still count towards k.
 TOLERANCE = 4.0
-_CACHED = 500_000
+_CACHED = 100_000
 _DEALT = 20_000
 
 
@@ -91,7 +91,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, counts = _Shapes(), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             counts += np.bincount(features(batch.column(0).to_pylist(), shapes)[0], minlength=BUCKETS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
@@ -132,7 +132,7 @@ def weights(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
-        for batch in batches:
+        for batch in sliced(batches):
             found = log_weights(batch.column(1).to_pylist(), shapes, ratios)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "log_weight"])
 
@@ -200,7 +200,7 @@ def selected_rows(documents: DataFrame, ratios: np.ndarray, k: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             keys = log_weights(texts, shapes, ratios) + batch.column(noise).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(keys >= least))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import sliced
+
 SPAN_WORDS = 8
 # Hex digits of a leaf: six of its digest, two of its length.
 _LEAF = 8
@@ -153,7 +155,7 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         before = None  # the row that waits for its next one: id as an array of one, text, fingerprint, range
-        for batch in batches:
+        for batch in sliced(batches):
             ids, columns = [], ([], [], [], [], [], [])
             for i, (text, where, copy) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)))):
                 mark = fingerprint(text)

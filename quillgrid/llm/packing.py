@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import written
+from quillgrid.llm.common import sliced, written
 from quillgrid.operators.numbering import with_position
 
 CAPACITY = 1024
@@ -74,7 +74,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = TextEncoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             row, cols = [], ([], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(text), END_OF_TEXT], "<u4")

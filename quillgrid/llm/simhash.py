@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import fresh, written
+from quillgrid.llm.common import fresh, sliced, written
 from quillgrid.operators.components import connected_components
 from quillgrid.operators.skew import salted_join
 
@@ -58,7 +58,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every document; a NULL text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = np.array([text_fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             fp = pa.array(values.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import sliced
+
 SLAB_CHARS = 8 << 20
 
 
@@ -67,7 +69,7 @@ def slab_rows(documents: DataFrame, split: Callable, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         schema = None
-        for batch in batches:
+        for batch in sliced(batches):
             if schema is None:
                 schema = pa.schema([("slab", pa.int64()), ("ids", pa.list_(batch.schema.field(0).type)), ("sizes", pa.list_(pa.int64())), ("seq", pa.binary()), ("units", pa.list_(pa.binary()))])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import fold_of, sampled_texts, written
+from quillgrid.llm.common import fold_of, sampled_texts, sliced, written
 
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7)
@@ -34,8 +34,8 @@ MARGIN = 1.5
 FLOOR = 1e-3
 # Bounds of what is learned: labelled texts, and words and prefixes that get a score of their own.
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 100_000
-_CACHED = 500_000
+MAX_ENTRIES = 20_000
+_CACHED = 100_000
 _EDGES = " \t\n.,;:!?\"'()[]{}<>*%$&#|-_/\\"
 
 
@@ -150,7 +150,7 @@ def _worths(texts: DataFrame, model: Model, keep: str, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer().__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             worth = [sum(w for w, _, _ in model.passages(list(map(score, t.split())))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worth, pa.float64())], names=[keep, "worth"])
 
@@ -168,7 +168,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     texts = written(sampled_texts(documents, labels, "toxic", max_labelled), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w in {clean(w) for w in text.split()}:
@@ -264,7 +264,7 @@ def passages(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_score = model.scorer().__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(i, *p) for i, t in enumerate(batch.column(1).to_pylist()) for p in model.passages(list(map(word_score, t.split())))]
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             cols = [pa.array([f[k] for f in found], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (1, pa.float64()))]
@@ -281,7 +281,7 @@ def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_score = model.scorer().__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             worth = (sum(w for w, _, _ in model.passages(list(map(word_score, (t or "").split())))) for t in texts)
             yield batch.filter(pa.array([model.probability(w) < THRESHOLD for w in worth], pa.bool_()))
