@@ -59,7 +59,7 @@ class Splitter:
         return (self._full if _UNSURE.search(text) else _PLAIN).findall(text)
 
 
-def _split(_ids: list, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _split(_ids: list, texts: list[str]) -> tuple:
     split, known = Splitter(), {}
     found, sizes = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -67,17 +67,13 @@ def _split(_ids: list, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray
         sizes[i] = len(words)
         found.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.int64, len(words)))
     raw = [w.encode() for w in known]
-    bucket = np.array([zlib.crc32(w) % n for w in raw], np.int64)
-    order = np.argsort(bucket, kind="stable")
-    renamed = np.empty(len(raw), np.int64)
-    renamed[order] = np.arange(len(raw))
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    pieces = []
-    for a, b in zip(ends, ends[1:]):
-        words = [raw[k] for k in order[a:b]]
-        pieces.append(slabs.pack_arrays(np.array([len(w) for w in words], "<u4"), np.frombuffer(b"".join(words), np.uint8)))
+
+    def pack(chosen: np.ndarray) -> bytes:
+        words = [raw[k] for k in chosen]
+        return slabs.pack_arrays(np.array([len(w) for w in words], "<u4"), np.frombuffer(b"".join(words), np.uint8))
+
     numbers = np.concatenate(found) if found else np.empty(0, np.int64)
-    return renamed[numbers], sizes, pieces
+    return numbers, sizes, np.array([zlib.crc32(w) for w in raw], np.int64), pack
 
 
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, finish=None, schema: str | None = None) -> DataFrame:
@@ -109,8 +105,10 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, finish=None, sche
     def arrays(ids: pa.Array, tokens: Iterator[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array([t.astype(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    def put_together(values: list[bytes], numbers: np.ndarray, sizes: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-        parts = [slabs.unpack_arrays(v, "<u4", "<u4") for v in values]
+    def unpack(value: bytes) -> list[np.ndarray]:
+        return slabs.unpack_arrays(value, "<u4", "<u4")
+
+    def put_together(parts: list, numbers: np.ndarray, sizes: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
         lengths = np.concatenate([p[0] for p in parts]).astype(np.int64)
         flat = np.concatenate([p[1] for p in parts])
         starts = np.cumsum(lengths) - lengths
@@ -126,7 +124,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, finish=None, sche
         return (finish or arrays)(ids, tokens())
 
     values = slabs.look_up(table, answer, n)
-    return slabs.assemble(table, values, put_together, schema or f"doc_id {kind}, ids array<bigint>", n)
+    return slabs.assemble(table, values, unpack, put_together, schema or f"doc_id {kind}, ids array<bigint>", n)
 
 
 class Decoder:

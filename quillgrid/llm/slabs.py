@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.common import sliced
 
-SLAB_CHARS = 8 << 20
+SLAB_CHARS = 32 << 20
+# Codes below this are one byte; the others have two more.
+_SHORT = 240
 
 
 def buckets(spark: SparkSession) -> int:
@@ -31,7 +33,7 @@ def buckets(spark: SparkSession) -> int:
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     heads = np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8")
-    return zstandard.ZstdCompressor(1).compress(heads.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(3).compress(heads.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -44,13 +46,35 @@ def unpack_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Non-negative numbers, small ones more frequent, as one compressed value."""
+    if codes.max(initial=0) >= (256 - _SHORT) << 16:
+        wide = codes.astype("<u8").view(np.uint8).reshape(-1, 8).T  # equal bytes side by side
+        return pack_arrays(np.array([8], "<i8"), np.ascontiguousarray(wide).ravel(), *[np.empty(0, np.uint8)] * 2)
+    rest = codes[codes >= _SHORT]
+    first = np.where(codes < _SHORT, codes, _SHORT + (codes >> 16))
+    return pack_arrays(np.array([1], "<i8"), *[(x & 255).astype(np.uint8) for x in (first, rest, rest >> 8)])
+
+
+def unpack_codes(blob: bytes) -> np.ndarray:
+    width, first, low, high = unpack_arrays(blob, "<i8", "u1", "u1", "u1")
+    if width[0] == 8:
+        return np.ascontiguousarray(first.reshape(8, -1).T).ravel().view("<u8").astype(np.int64)
+    codes = first.astype(np.int64)
+    long = codes >= _SHORT
+    codes[long] = ((codes[long] - _SHORT) << 16) + (high.astype(np.int64) << 8) + low
+    return codes
+
+
 def slab_rows(documents: DataFrame, split: Callable, n: int) -> DataFrame:
     """``slab, ids, sizes, seq, units``: one row per slab.
 
-    ``split`` takes the slab's ids and texts and the number of buckets, and
-    returns the units of each text as numbers, their count per text, and one
-    packed piece of the dictionary per bucket. The numbers count through the
-    pieces in the order of the buckets. A slab ends with the text that fills it.
+    ``split`` takes the slab's ids and texts, and returns the units of all texts
+    one after another as numbers of distinct units, the count of units per text,
+    a hash of each distinct unit, and a function that packs distinct units given
+    by their numbers. Hash buckets hold their units from the most frequent on; a
+    unit's code is its place there times the number of buckets, plus the bucket,
+    so that frequent units have small codes. A slab ends with the text that fills it.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -59,12 +83,14 @@ def slab_rows(documents: DataFrame, split: Callable, n: int) -> DataFrame:
         ids, texts, chars = [], [], 0
 
         def row():
-            numbers, sizes, pieces = split(ids, texts, n)
-            narrow = "<u2" if len(numbers) == 0 or numbers.max() < 1 << 16 else "<u4"
-            flat = numbers.astype(narrow)
-            # Low and high bytes apart compress better.
-            planes = flat.view(np.uint8).reshape(len(flat), -1).T.copy().ravel()
-            seq = pack_arrays(np.array([flat.itemsize], "<i8"), planes)
+            numbers, sizes, hashes, pack = split(ids, texts)
+            bucket = hashes % n
+            order = np.lexsort((-np.bincount(numbers, minlength=len(hashes)), bucket))
+            ends = np.searchsorted(bucket[order], np.arange(n + 1))
+            code = np.empty(len(hashes), np.int64)
+            code[order] = (np.arange(len(hashes)) - ends[bucket[order]]) * n + bucket[order]
+            pieces = [pack(order[a:b]) for a, b in zip(ends, ends[1:])]
+            seq = pack_codes(code[numbers])
             columns = [[(part << 32) + made], [ids], [sizes.tolist()], [seq], [pieces]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -87,12 +113,6 @@ def slab_rows(documents: DataFrame, split: Callable, n: int) -> DataFrame:
     return texts.mapInArrow(run, f"slab bigint, ids array<{kind}>, sizes array<bigint>, seq binary, units array<binary>")
 
 
-def numbers_of(seq: bytes) -> np.ndarray:
-    width, planes = unpack_arrays(seq, "<i8", "u1")
-    k = int(width[0])
-    return np.ascontiguousarray(planes.reshape(k, -1).T).ravel().view(f"<u{k}").astype(np.int64)
-
-
 def look_up(slabs: DataFrame, answer: Callable, n: int) -> DataFrame:
     """``slab, bucket, value``: each dictionary piece with what ``answer`` makes of it.
 
@@ -121,24 +141,29 @@ def look_up(slabs: DataFrame, answer: Callable, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "slab bigint, bucket int, value binary")
 
 
-def assemble(slabs: DataFrame, values: DataFrame, finish: Callable, schema: str, n: int) -> DataFrame:
+def assemble(slabs: DataFrame, values: DataFrame, unpack: Callable, finish: Callable, schema: str, n: int) -> DataFrame:
     """Bring the values back to their slabs.
 
-    ``finish`` takes the slab's values in the order of the buckets, its numbers,
-    the texts' sizes and their ids as an Arrow array, and returns a record batch of ``schema``.
+    ``unpack`` makes the parts of a value, the first of which has an entry per
+    unit. ``finish`` takes the slab's unpacked values in the order of the buckets,
+    its texts' units as places in their concatenation, the texts' sizes, and their
+    ids as an Arrow array, and returns a record batch of ``schema``.
     """
     empty = [F.lit(None).cast(slabs.schema[c].dataType).alias(c) for c in ("ids", "sizes", "seq")]
     back = values.select("slab", "bucket", "value", *empty)
     own = slabs.select("slab", F.lit(n).alias("bucket"), F.lit(None).cast("binary").alias("value"), "ids", "sizes", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for i, (bucket, value, sizes, seq) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 4, 5)))):
                 if bucket < n:
-                    held.append(value)
+                    held.append(unpack(value))
                 else:
-                    yield finish(held, numbers_of(seq), np.array(sizes, np.int64), batch.column(3)[i].values)
+                    counts = np.array([len(parts[0]) for parts in held], np.int64)
+                    place, bucket = np.divmod(unpack_codes(seq), n)
+                    units = (np.cumsum(counts) - counts)[bucket] + place
+                    yield finish(held, units, np.array(sizes, np.int64), batch.column(3)[i].values)
                     held = []
 
     both = own.unionByName(back).repartition(n, "slab").sortWithinPartitions("slab", "bucket")
