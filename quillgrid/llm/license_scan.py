@@ -104,8 +104,9 @@ THIS SOFTWARE.""",
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A line that only claims a copyright, and the sentence that goes with it.
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line that claims a copyright, and the sentence that goes with it. A line of a
+# licence that merely begins with the word names no year, sign or owner after it.
+_COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t:]+(\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*"
 _RESERVED = r"all rights reserved\.?"
 # Everything but letters, digits and what is beyond ASCII; typographic marks are beyond it, and named.
 _MARKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+|[\x{00A0}-\x{00BF}\x{2000}-\x{206F}]+"

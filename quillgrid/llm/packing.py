@@ -158,4 +158,6 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte
     order = [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
     ranked = with_position(pieces, ["length"], order, position="rank").withColumn("rank", F.col("rank") - 1)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return ranked.join(slots(spark, plan(histogram, capacity)), ["length", "rank"]).select(*names)
+    # The slots grow with the pieces, which their statistics do not show: never broadcast them.
+    places = slots(spark, plan(histogram, capacity)).hint("merge")
+    return ranked.join(places, ["length", "rank"]).select(*names)
