@@ -31,7 +31,7 @@ def target_key(path: Column, root: str, prefix: str, strict_prefix: bool = True)
     """Key in the target store of a source path.
 
     ``strict_prefix=False`` removes the root text wherever it occurs in the
-    path, as the original did; the default removes it only at the front, on a
+    path; the default removes it only at the front, on a
     folder boundary.
     """
     relative = F.ltrim(path, F.lit("/"))

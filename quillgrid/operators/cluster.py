@@ -269,7 +269,10 @@ def density_clusters(
 
     merged = vectors.groupBy("coords").agg(F.min("id").alias("pt"), F.count(F.lit(1)).alias("weight"))
     placed = materialise(merged.withColumn("cell", _sub_cell(F.col("coords"), side, 0)))
-    count = placed.count()
+    longest = F.max(F.size("coords"))
+    count, shortest, longest = placed.agg(F.count(F.lit(1)), F.min(F.size("coords")), longest).first()
+    if shortest != longest:
+        raise ValueError(f"vectors have {shortest} to {longest} elements")
     cells = materialise(
         placed.groupBy("cell").agg(
             F.min("pt").alias("cid"), F.sum("weight").alias("cell_weight"), *_bounds(dimensions)
@@ -330,13 +333,17 @@ def cluster_documents(
     file_col: str = "file",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """The clustering job: ``file, cluster, x, y`` for documents with an embedding.
+    """The clustering job: ``file, cluster, x, y`` of every document; without an embedding it is noise without a place.
 
     Clusters are formed on the full vectors, not on the layout.
     """
     vectors = documents.select(F.col(id_col).alias("id"), F.col(file_col).alias("file"), F.col(vector_col).alias("coords"))
     # The user's model runs once, not once per step.
-    vectors = materialise(vectors.filter(F.col("coords").isNotNull()))
+    every = materialise(vectors)
+    vectors = every.filter(F.col("coords").isNotNull())
     clusters = density_clusters(vectors, eps, min_cluster_size)
     layout = layout_2d(vectors)
-    return vectors.select("id", "file").join(clusters, "id").join(layout, "id").select("file", "cluster", "x", "y")
+    placed = vectors.select("id", "file").join(clusters, "id").join(layout, "id").select("file", "cluster", "x", "y")
+    none = F.lit(None).cast("double")
+    lacking = every.filter(F.col("coords").isNull())
+    return placed.unionByName(lacking.select("file", F.lit(NOISE).cast("bigint").alias("cluster"), none.alias("x"), none.alias("y")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import tokens as tk
+from quillgrid.operators.skew import HOT_ROWS, salted_join
 
 TOKEN_KEY = ["user_id", "provider"]
 PATCHABLE = ("email", "full_name", "hashed_password")
@@ -46,20 +47,44 @@ def fold_to_map(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
     return df.groupBy(key).agg(last[value].alias(value))
 
 
-def email_conflicts(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Requests whose email belongs to another user. A request without ``id`` is an insert."""
-    taken = users.select(F.col("email").alias("__email"), F.col("id").alias("__owner"))
-    same = F.col("email") == F.col("__email")
-    if "id" in requests.columns:
-        same = same & ~F.col("id").eqNullSafe(F.col("__owner"))
-    return requests.join(taken, same, "left_semi")
+def email_conflicts(
+    requests: DataFrame, users: DataFrame, order: Sequence[str] = (), *, new: bool = False, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Requests whose email belongs to another user, or to none but is claimed by an earlier request of the batch.
+
+    ``new`` requests, and those without an ``id``, are inserts, for which any
+    owner is another user. ``order`` are the columns that put requests in order,
+    by default the ``id`` or else all columns. A user may claim one email several
+    times. Emails count as they were before the batch.
+    """
+    is_new = new or "id" not in requests.columns
+    turn = F.struct(*(order or (["id"] if "id" in requests.columns else requests.columns)))
+    by = F.lit(None).cast("bigint") if is_new else F.col("id")
+    owners = users.select("email", F.col("id").alias("__owner"), F.lit(True).alias("__owned"))
+    claims = requests.withColumns({"__turn": turn, "__by": by}).filter(F.col("email").isNotNull())
+    first = claims.groupBy("email").agg(F.min(F.struct("__turn", "__by")).alias("__first"))
+    known = first.join(owners, "email", "left")
+    judged = salted_join(claims, known, ["email"], spread=[F.col("__turn")], how="left", hot_rows=hot_rows)
+    other = F.lit(True) if is_new else ~F.col("id").eqNullSafe(F.col("__owner"))
+    late = (F.col("__turn") > F.col("__first.__turn")) & (F.lit(is_new) | ~F.col("__by").eqNullSafe(F.col("__first.__by")))
+    return judged.filter(F.when(F.col("__owned"), other).otherwise(late)).select(*requests.columns)
+
+
+def insert_users(users: DataFrame, requests: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """``users`` with the requested ones whose email is free; of equal emails the first request by ``order`` counts.
+
+    Requests without an email are not accepted. Columns that ``requests`` lacks are NULL.
+    """
+    refused = email_conflicts(requests, users, order, new=True).select("id").distinct()
+    added = requests.filter(F.col("email").isNotNull()).join(refused, "id", "left_anti")
+    return users.unionByName(added.select(*[c for c in added.columns if c in users.columns]), allowMissingColumns=True)
 
 
 def accepted_patches(patches: DataFrame, users: DataFrame) -> DataFrame:
-    """Patches of existing users by themselves or a superuser, without email conflicts."""
+    """Patches by the user or a superuser, without email conflicts; users are not looked up."""
     allowed = patches.filter(F.col("actor_is_superuser") | (F.col("actor_id") == F.col("id")))
     conflicts = email_conflicts(allowed.select("id", "email"), users).select("id").distinct()
-    return allowed.join(conflicts, "id", "left_anti").join(users.select("id"), "id", "left_semi")
+    return allowed.join(conflicts, "id", "left_anti")
 
 
 def apply_patches(users: DataFrame, patches: DataFrame) -> DataFrame:
@@ -85,11 +110,13 @@ def apply_patches(users: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.select(*[patched(c) for c in users.columns])
 
 
-def upsert_tokens(current: DataFrame, granted: DataFrame) -> DataFrame:
+def upsert_tokens(current: DataFrame, granted: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Replace the token of each (user, provider) in ``granted``, or add it.
 
-    ``granted`` has one row per key. Columns it lacks keep their old value.
+    Of several grants of one key the last by ``order`` counts, by default by the
+    order of all columns. Columns that ``granted`` lacks keep their old value.
     """
+    granted = latest(granted, TOKEN_KEY, order or [c for c in granted.columns if c not in TOKEN_KEY])
     new = granted.select(*TOKEN_KEY, F.lit(True).alias("__new"), *[
         F.col(c).alias(f"__{c}") for c in granted.columns if c not in TOKEN_KEY
     ])
@@ -135,15 +162,23 @@ def token_status(
     )
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    """Latest state of every task in an event log; equal times are settled by ``event_id``."""
+def task_states(events: DataFrame, creates: Column | None = None) -> DataFrame:
+    """Latest state of every task in an event log; equal times are settled by ``event_id``.
+
+    An event sets the fields that it holds: a NULL field leaves the earlier value.
+    ``creates`` tells the events that create a task; others don't make one, so a
+    task without such an event is left out.
+    """
     fields = [c for c in events.columns if c not in ("task_id", "updated_at", "event_id")]
     moment = F.struct("updated_at", "event_id")
     return (
         events.groupBy("task_id")
         .agg(
             F.min("updated_at").alias("created_at"),
-            F.max_by(F.struct("updated_at", "event_id", *fields), moment).alias("__last"),
+            F.max(moment).alias("__last"),
+            F.max(F.lit(True) if creates is None else F.coalesce(creates, F.lit(False))).alias("__made"),
+            *[F.max_by(f, F.when(F.col(f).isNotNull(), moment)).alias(f) for f in fields],
         )
-        .select("task_id", "created_at", "__last.*")
+        .filter("__made")
+        .select("task_id", "created_at", "__last.*", *fields)
     )

@@ -16,7 +16,11 @@ from quillgrid.operators.numbering import with_position
 def in_folder(files: DataFrame, folder: str) -> DataFrame:
     """Direct children of ``folder``; an empty folder means the root."""
     current = folder if folder.startswith("/") else f"/{folder}"
-    return files.filter(parent_folder(F.col("path")) == current)
+    inside = parent_folder(F.col("path")) == current
+    if current != "/":
+        # Parquet can use the prefix to skip row groups; the exact test follows.
+        inside = F.col("path").startswith(current.rstrip("/") + "/") & inside
+    return files.filter(inside)
 
 
 def from_source(files: DataFrame, source: str = "all") -> DataFrame:
@@ -45,12 +49,12 @@ def ignoring(files: DataFrame, pattern: str) -> DataFrame:
     except PySparkException:
         warnings.warn(f"invalid pattern skipped: {pattern}", stacklevel=2)
         return files
-    return files.filter(~F.col("path").rlike(insensitive))
+    return files.filter(~F.coalesce(F.col("path").rlike(insensitive), F.lit(False)))
 
 
 def named_like(files: DataFrame, text: str) -> DataFrame:
     """Names containing ``text`` in any case; empty text matches all."""
-    return files.filter(F.contains(F.lower(F.col("name")), F.lit(text.lower())))
+    return files.filter(F.contains(F.lower(F.col("name")), F.lit(text.lower()))) if text else files
 
 
 def pdf_paths(files: DataFrame, path: str = "path", case_sensitive: bool = False) -> DataFrame:

@@ -8,31 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-# At most this many keys can exceed the threshold below, so the table of hot
-# keys has a fixed size bound and may be broadcast.
-MAX_HOT_KEYS = 1_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows and the parts to split each into; None if there are none.
 
-    The threshold is raised to ``rows / MAX_HOT_KEYS`` for very large tables, so
-    the result never has more than ``MAX_HOT_KEYS`` rows.
+    A part holds about ``hot_rows`` rows, whatever the size of the table.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    rows, largest = counts.agg(F.sum("__rows"), F.max("__rows")).first()
-    threshold = max(hot_rows, (rows or 0) // MAX_HOT_KEYS)
-    if (largest or 0) <= threshold:
+    largest = counts.agg(F.max("__rows")).first()[0]
+    if (largest or 0) <= hot_rows:
         return None
-    parts = F.ceil(F.col("__rows") / threshold).cast("int").alias("__parts")
-    return counts.filter(F.col("__rows") > threshold).select(*keys, parts)
+    parts = F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__parts")
+    return counts.filter(F.col("__rows") > hot_rows).select(*keys, parts)
 
 
 def _marked(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], name: str) -> DataFrame:
     """Add the number of parts of the row's key."""
     if hot is None:
         return df.withColumn(name, F.lit(1))
-    marks = F.broadcast(hot.withColumnRenamed("__parts", name))
+    # No hint: Spark broadcasts the hot keys if they are few, and else splits them as skewed.
+    marks = hot.withColumnRenamed("__parts", name)
     return df.join(marks, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.files import has_suffix, target_key
 
-REPORTED_KEYS = 100
-
 
 def pdf_files(listing: DataFrame) -> DataFrame:
     """File entries named ``*.pdf`` in any case; folders and other files are dropped."""
@@ -49,22 +47,34 @@ def is_upload(action: Column) -> Column:
     return action != "skip"
 
 
-def sync_summary(source: DataFrame, plan: DataFrame, failed_keys: DataFrame | None = None) -> DataFrame:
-    """One row: files scanned, PDFs uploaded, skipped and failed, and the first uploaded keys.
+def _outcome(plan: DataFrame, failed_keys: DataFrame | None) -> DataFrame:
+    if failed_keys is None:
+        return plan.withColumn("__failed", F.lit(False))
+    failures = failed_keys.select("key").distinct().withColumn("__hit", F.lit(True))
+    return plan.join(failures, "key", "left").withColumn("__failed", F.col("__hit").isNotNull())
+
+
+def uploaded_keys(plan: DataFrame, failed_keys: DataFrame | None = None) -> DataFrame:
+    """``path_display, key`` of every upload of the plan that did not fail."""
+    uploaded = is_upload(F.col("action")) & ~F.col("__failed")
+    return _outcome(plan, failed_keys).filter(uploaded).select("path_display", "key")
+
+
+def sync_summary(
+    source: DataFrame, plan: DataFrame, failed_keys: DataFrame | None = None, *, limit: int = 100
+) -> DataFrame:
+    """One row: files scanned, PDFs uploaded, skipped and failed, and the first ``limit`` uploaded keys by path.
 
-    ``failed_keys`` (``key``) names transfers that went wrong. The report shows
-    the first ``REPORTED_KEYS`` keys by path; the whole list is ``plan`` itself.
+    ``failed_keys`` (``key``) names transfers that went wrong. ``uploaded_keys``
+    has the whole list.
     """
-    outcome = plan.withColumn("__failed", F.lit(False))
-    if failed_keys is not None:
-        failures = failed_keys.select("key").distinct().withColumn("__hit", F.lit(True))
-        outcome = plan.join(failures, "key", "left").withColumn("__failed", F.col("__hit").isNotNull())
+    outcome = _outcome(plan, failed_keys)
     uploaded = is_upload(F.col("action")) & ~F.col("__failed")
     scanned = source.agg(F.count_if("is_file").alias("scanned"))
     first = (
         outcome.filter(uploaded)
         .orderBy("path_display")
-        .limit(REPORTED_KEYS)
+        .limit(limit)
         .agg(F.sort_array(F.collect_list(F.struct("path_display", "key"))).alias("k"))
         .select(F.col("k.key").alias("k"))
     )

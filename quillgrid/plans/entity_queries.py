@@ -85,6 +85,20 @@ def email_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 EMAIL_CONFLICTS_SQL = with_views("fx_users fx_patches", f"select id, email from fx_patches p where {_CONFLICT_SQL}")
 
 
+def user_insert(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order asks for an account for its customer; the first order of a customer gets it."""
+    requests = v.table(spark, folder, "orders").selectExpr(
+        "10000000 + o_orderkey id", "concat('c', cast(o_custkey as string), '@orders.example') email", "o_orderpriority full_name", "true is_active"
+    )
+    return en.insert_users(v.users(spark, folder), requests)
+
+
+USER_INSERT_SQL = with_views("fx_users", f"""
+select {_USER_COLUMNS} from fx_users union all
+select 10000000 + min(o_orderkey) id, concat('c', cast(o_custkey as varchar), '@orders.example') email,
+ arg_min(o_orderpriority, o_orderkey) full_name, true is_active, null::boolean is_superuser from orders group by o_custkey""")
+
+
 def token_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return en.upsert_tokens(v.tokens(spark, folder), v.grants(spark, folder))
 
@@ -138,6 +152,7 @@ QUERIES = {
     "user_defaults": user_defaults,
     "user_patch": user_patch,
     "email_conflicts": email_conflicts,
+    "user_insert": user_insert,
     "token_upsert": token_upsert,
     "token_delete": token_delete,
     "category_sums": category_sums,
@@ -150,6 +165,7 @@ ORACLES = {
     "user_defaults": USER_DEFAULTS_SQL,
     "user_patch": USER_PATCH_SQL,
     "email_conflicts": EMAIL_CONFLICTS_SQL,
+    "user_insert": USER_INSERT_SQL,
     "token_upsert": TOKEN_UPSERT_SQL,
     "token_delete": TOKEN_DELETE_SQL,
     "category_sums": CATEGORY_SUMS_SQL,

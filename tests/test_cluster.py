@@ -136,9 +136,16 @@ def test_cluster_documents_joins_clusters_and_layout(spark):
     assert all(abs(again[r.file][0] - r.x) < 1e-9 for r in out)
 
 
-def test_embedding_with_null_is_left_out(spark):
+def test_document_without_embedding_is_noise(spark):
     docs = spark.createDataFrame([(1, "a", [0.0, 0.0]), (2, "b", None)], "doc_id bigint, file string, embedding array<float>")
-    assert [r.file for r in cl.cluster_documents(docs, 1.0, 1).select("file").orderBy("file").collect()] == ["a"]
+    got = {r.file: (r.cluster, r.x is None) for r in cl.cluster_documents(docs, 1.0, 1).collect()}
+    assert got == {"a": (1, False), "b": (-1, True)}
+
+
+def test_vectors_of_unequal_length_are_refused(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0, 9.0])], "id bigint, coords array<double>")
+    with pytest.raises(ValueError, match="2 to 3"):
+        cl.density_clusters(df, 1.0, 1)
 
 
 def test_score_is_cosine(spark):

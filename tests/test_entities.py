@@ -96,3 +96,37 @@ def test_uris_and_composition(spark):
     assert got == {1: "s3://k/a/x.pdf", 2: "s3://k/b/x.pdf", 3: "/c/y.pdf"}
     kept = ck.apply_all(clusters, [lambda d: d.filter("cluster > 1"), lambda d: d.limit(1)])
     assert kept.count() == 1
+
+
+def test_two_claims_of_one_email(spark):
+    users = spark.createDataFrame([(1, "a@x"), (2, "b@x"), (3, "c@x")], "id bigint, email string")
+    patches = spark.createDataFrame(
+        [(1, "n@x", 1, False), (2, "n@x", 2, False), (3, "c@x", 3, False)],
+        "id bigint, email string, actor_id bigint, actor_is_superuser boolean",
+    )
+    assert {r.id: r.email for r in en.apply_patches(users, patches).collect()} == {1: "n@x", 2: "b@x", 3: "c@x"}
+    hot = en.email_conflicts(patches, users, hot_rows=1)
+    assert [r.id for r in hot.collect()] == [2]
+
+
+def test_insert_users(spark):
+    users = spark.createDataFrame([(1, "a@x", "A")], "id bigint, email string, full_name string")
+    asked = spark.createDataFrame([(7, "n@x"), (5, "n@x"), (6, "a@x"), (8, None)], "id bigint, email string")
+    got = {tuple(r) for r in en.insert_users(users, asked).collect()}
+    assert got == {(1, "a@x", "A"), (5, "n@x", None)}
+
+
+def test_last_of_two_grants(spark):
+    current = spark.createDataFrame([(1, "dropbox", "r1", 1)], "user_id bigint, provider string, refresh string, at int")
+    granted = spark.createDataFrame([(1, "dropbox", "r3", 3), (1, "dropbox", "r2", 2)], "user_id bigint, provider string, refresh string, at int")
+    assert [tuple(r) for r in en.upsert_tokens(current, granted, ["at"]).collect()] == [(1, "dropbox", "r3", 3)]
+
+
+def test_sparse_task_updates(spark):
+    rows = [
+        ("a", "sync", "queued", None, T0, 1), ("a", None, "running", None, T0 + dt.timedelta(1), 2),
+        ("a", None, None, "ok", T0 + dt.timedelta(2), 3), ("z", None, "running", None, T0, 4),
+    ]
+    events = spark.createDataFrame(rows, "task_id string, kind string, status string, result string, updated_at timestamp_ntz, event_id bigint")
+    got = [(r.task_id, r.kind, r.status, r.result, r.event_id) for r in en.task_states(events, F.col("kind").isNotNull()).collect()]
+    assert got == [("a", "sync", "running", "ok", 3)]

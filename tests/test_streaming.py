@@ -24,7 +24,7 @@ def test_sync_stream_equals_batch_over_several_runs(spark, tmp_path):
 
     def run():
         arriving = jobs.stream_files(spark, source, first.schema, files_per_trigger=1)
-        jobs.sync_stream(arriving, target, out, progress, root="/Docs", prefix="in").awaitTermination(120)
+        jobs.sync_stream(arriving, lambda: target, out, progress, root="/Docs", prefix="in").awaitTermination(120)
 
     first.coalesce(1).write.parquet(source)
     run()
