@@ -197,7 +197,9 @@ def read_archives(archives: DataFrame, chunk_bytes: int = CHUNK_BYTES, data: boo
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     kinds = "id string, record_type string, refers_to string, chunk_no int, last boolean, data binary, payload_bytes bigint, payload_digest string"
-    return archives.select("archive").repartition("archive").mapInArrow(run, kinds)
+    # A fixed number of tasks: Spark would judge the few short names worth one task.
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("archive").repartition(n, "archive").mapInArrow(run, kinds)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
