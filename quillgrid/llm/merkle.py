@@ -37,8 +37,11 @@ def _spans(raw: bytes) -> list[bytes]:
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     if len(b) <= _WINDOW:
         return [raw]
-    window = np.lib.stride_tricks.sliding_window_view(b, _WINDOW)[:-1]
-    mixed = ((window @ _WEIGHTS) * np.uint32(2654435761)) >> 16
+    n = len(b) - _WINDOW
+    window = b[:n] * _WEIGHTS[0]
+    for k in range(1, _WINDOW):
+        window += b[k : n + k] * _WEIGHTS[k]
+    mixed = (window * np.uint32(2654435761)) >> 16
     cut = ((b[_WINDOW:] == 32) & (mixed % SPAN_WORDS == 0)) | (mixed % _ANYWHERE == 0)
     cuts = (np.flatnonzero(cut) + _WINDOW + 1).tolist()
     return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)]) if i < j]
