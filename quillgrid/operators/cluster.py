@@ -15,14 +15,14 @@ through ever smaller sub-cells instead of pair by pair. The result is exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import product
 from operator import add, and_
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.components import connected_components
@@ -38,6 +38,9 @@ _SMALL_UNIT = 64
 # Distances of up to this many dimensions are written out; longer ones use array functions.
 _WRITTEN_OUT = 4
 _DEEPEST = 40
+# Points whose neighbours are looked at to choose eps, and the share of them that eps makes core points.
+SAMPLED = 256
+CORE_SHARE = 0.5
 
 
 def _square_sum(parts: Column) -> Column:
@@ -240,9 +243,66 @@ def _linked_cells(
     return linked.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
+def neighbour_distances(
+    data: DataFrame, k: int = 4, sampled: int = SAMPLED, *, id_col: str = "id", vector_col: str = "coords"
+) -> DataFrame:
+    """``id, distance``: how far the k-th closest vector is from each of ``sampled`` vectors, itself counted as the first.
+
+    A point is a core point for every eps from this distance on. The sample is
+    the ids with the smallest MD5; each is compared with all vectors, and a task
+    passes on its k smallest distances. With fewer than k vectors the distance
+    is NULL. Rows without a vector are left out.
+    """
+    rows = data.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("coords"))
+    vectors = rows.filter(F.col("coords").isNotNull())
+    sample = vectors.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sampled).collect()
+    places = [r["coords"] for r in sample]  # at most ``sampled`` vectors
+    sizes = sorted({len(p) for p in places})
+    if len(sizes) > 1:
+        raise ValueError(f"vectors have {sizes[0]} to {sizes[-1]} elements")
+
+    def nearest(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        best = np.full((len(places), k), np.inf)
+        for batch in batches:
+            lengths = set(batch.column(0).value_lengths().to_pylist())
+            if lengths - {len(places[0])}:
+                raise ValueError(f"vectors have {len(places[0])} and {max(lengths)} elements")
+            points = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, place in enumerate(places):
+                found = np.concatenate([best[i], np.sqrt(((points - place) ** 2).sum(axis=1))])
+                best[i] = np.partition(found, k - 1)[:k]
+        at, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(best[np.isfinite(best)])], names=["at", "distance"])
+
+    # The limit on row_number cuts every task's rows to k per sampled point before the shuffle.
+    closest = Window.partitionBy("at").orderBy("distance")
+    kth = (
+        vectors.select("coords").mapInArrow(nearest, "at int, distance double")
+        .withColumn("n", F.row_number().over(closest)).filter(F.col("n") <= k)
+        .groupBy("at").agg(F.max(F.when(F.col("n") == k, F.col("distance"))).alias("distance"))
+    )
+    ids = data.sparkSession.createDataFrame([(i, r["id"]) for i, r in enumerate(sample)], f"at int, id {rows.schema['id'].dataType.simpleString()}")
+    return ids.join(kth, "at").select("id", "distance")
+
+
+def suggested_eps(
+    data: DataFrame, k: int = 4, core_share: float = CORE_SHARE, *, id_col: str = "id", vector_col: str = "coords"
+) -> float:
+    """The eps at which ``core_share`` of a bounded sample of vectors are core points.
+
+    Vectors with k copies of themselves don't count, or eps could be 0.
+    """
+    found = neighbour_distances(data, k, id_col=id_col, vector_col=vector_col).filter("distance > 0")
+    eps = found.agg(F.percentile("distance", core_share)).first()[0]
+    return 1e-6 if eps is None else eps
+
+
 def density_clusters(
     data: DataFrame,
-    eps: float,
+    eps: float | None = None,
     min_cluster_size: int = 4,
     min_samples: int | None = None,
     *,
@@ -253,10 +313,12 @@ def density_clusters(
     """``id, cluster`` of every row; a cluster is named after its smallest id.
 
     Unlike HDBSCAN, ``eps`` is one cut for all clusters and is not chosen per
-    branch. ``min_samples`` defaults to ``min_cluster_size``. Rows without a
-    vector are noise.
+    branch; without it, ``suggested_eps`` is taken. ``min_samples`` defaults to
+    ``min_cluster_size``. Rows without a vector are noise.
     """
     k = min_samples or min_cluster_size
+    if eps is None:
+        eps = suggested_eps(data, k, id_col=id_col, vector_col=vector_col)
     noise = F.lit(NOISE).cast("bigint")
     rows = data.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("coords"))
     vectors = rows.filter(F.col("coords").isNotNull())
@@ -326,7 +388,7 @@ def layout_2d(vectors: DataFrame, id_col: str = "id", vector_col: str = "coords"
 
 def cluster_documents(
     documents: DataFrame,
-    eps: float,
+    eps: float | None = None,
     min_cluster_size: int = 4,
     *,
     id_col: str = "doc_id",

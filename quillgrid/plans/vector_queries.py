@@ -81,6 +81,30 @@ def layout_2d(spark: SparkSession, folder: str) -> DataFrame:
     return cl.layout_2d(v.table(spark, folder, "embeddings"), "vec_id", "embedding")
 
 
+def layout_plane(spark: SparkSession, folder: str) -> DataFrame:
+    """The layout of vectors with two elements, whose principal axes have a closed form."""
+    placed = cl.layout_2d(v.points(spark, folder))
+    return placed.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+LAYOUT_PLANE_SQL = with_views("fx_points", """, moments as (select var_samp(px) a, covar_samp(px, py) b, var_samp(py) c from fx_points),
+axis as (select cos(atan2(2 * b, a - c) / 2) u, sin(atan2(2 * b, a - c) / 2) w from moments),
+axes as (select case when abs(u) >= abs(w) then sign(u) else sign(w) end s, case when abs(w) >= abs(u) then sign(-w) else sign(u) end t, u, w from axis)
+select id, round(s * (px * u + py * w), 6) x, round(t * (py * u - px * w), 6) y from fx_points, axes""")
+
+
+def neighbour_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the fourth closest vector is from sampled ones: the numbers that eps is chosen from."""
+    found = cl.neighbour_distances(v.table(spark, folder, "embeddings"), MIN_SIZE, id_col="vec_id", vector_col="embedding")
+    return found.select("id", F.round("distance", 6).alias("distance"))
+
+
+NEIGHBOUR_DISTANCES_SQL = f"""with e as materialized (select vec_id, embedding::double[] v from embeddings where embedding is not null),
+q as (select * from e order by md5(vec_id::varchar), vec_id limit {cl.SAMPLED}),
+ranked as (select q.vec_id id, list_distance(q.v, e.v) d, row_number() over (partition by q.vec_id order by list_distance(q.v, e.v)) n from q, e)
+select id, round(d, 6) distance from ranked where n = {MIN_SIZE}"""
+
+
 def semantic_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 100 vectors closest to vector 0 among those with a positive label."""
     vectors = v.table(spark, folder, "embeddings")
@@ -100,11 +124,15 @@ QUERIES = {
     "cluster_documents": cluster_documents,
     "embed_documents": embed_documents,
     "layout_2d": layout_2d,
+    "layout_plane": layout_plane,
+    "neighbour_distances": neighbour_distances,
     "semantic_topk": semantic_topk,
 }
 ORACLES = {
     "density_clusters": DENSITY_CLUSTERS_SQL,
     "cluster_documents": CLUSTER_DOCUMENTS_SQL,
     "embed_documents": EMBED_DOCUMENTS_SQL,
+    "layout_plane": LAYOUT_PLANE_SQL,
+    "neighbour_distances": NEIGHBOUR_DISTANCES_SQL,
     "semantic_topk": SEMANTIC_TOPK_SQL,
 }

@@ -156,3 +156,39 @@ def test_score_is_cosine(spark):
     assert scores[1] == pytest.approx(1) and scores[2] == pytest.approx(math.sqrt(0.5)) and scores[4] == pytest.approx(-1)
     assert scores[3] is None
     assert [r.id for r in top_k(df, [2.0, 0.0], 2).collect()] == [1, 2]
+
+
+def test_neighbour_distances_equal_brute_force(spark):
+    rng = random.Random(12)
+    points = {i: [rng.gauss(0, 1) for _ in range(5)] for i in range(90)} | {100: [9.0] * 5, 101: [9.0] * 5, 102: [9.0] * 5}
+    rows = [*points.items(), (200, None)]
+    df = spark.createDataFrame(rows, "id bigint, coords array<double>").repartition(5)
+    got = {r.id: r.distance for r in cl.neighbour_distances(df, 3, sampled=40).collect()}
+    assert len(got) == 40 and 200 not in got
+    for i, distance in got.items():
+        assert distance == pytest.approx(sorted(math.dist(points[i], p) for p in points.values())[2])
+    every = {r.id: r.distance for r in cl.neighbour_distances(df, 3).collect()}
+    assert set(every) == set(points) and every[100] == 0.0
+
+
+def test_few_and_unequal_vectors(spark):
+    few = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 5.0])], "id bigint, coords array<double>")
+    assert {r.distance for r in cl.neighbour_distances(few, 3).collect()} == {None}
+    assert {r.distance for r in cl.neighbour_distances(few, 2).collect()} == {5.0}
+    assert cl.neighbour_distances(few.filter("id < 0"), 2).count() == 0
+    uneven = few.unionByName(spark.createDataFrame([(3, [1.0, 2.0, 3.0])], few.schema))
+    with pytest.raises(Exception, match="elements"):
+        cl.neighbour_distances(uneven, 2).collect()
+
+
+def test_eps_is_chosen_from_the_data(spark):
+    rng = random.Random(5)
+    points = {i: [(i % 3) * 10 + rng.gauss(0, 0.1), rng.gauss(0, 0.1)] for i in range(150)}
+    df = spark.createDataFrame(list(points.items()), "id bigint, coords array<double>")
+    eps = cl.suggested_eps(df, core_share=0.9)
+    assert 0 < eps < 1
+    clusters = {r.id: r.cluster for r in cl.density_clusters(df).collect()}
+    assert all(c == -1 or c % 3 == i % 3 for i, c in clusters.items())
+    assert sum(c >= 0 for c in clusters.values()) >= 60
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id bigint, coords array<double>")
+    assert {r.cluster for r in cl.density_clusters(copies).collect()} == {0}
