@@ -36,6 +36,8 @@ HEADLINE = (
     "semantic_topk",
     "density_clusters",
     "cluster_documents",
+    "layout_2d",
+    "neighbour_distances",
     "graph_match",
     "stream_sync",
     "stream_task_state",

@@ -145,7 +145,7 @@ def metadata_tag(spark: SparkSession, folder: str) -> DataFrame:
 _RAW_FIELDS = [*m.ACCESSORS, "creation_date", "mod_date", "format"]
 METADATA_TAG_SQL = with_views("fx_docmeta", f"""
 select doc_id, {', '.join(f"nullif({a}, '') {a}" for a in m.ACCESSORS)}, {_TAG_SQL} tag,
- cast({' + '.join(f"(coalesce({a}, '') <> '')::int" for a in _RAW_FIELDS)} as int) raw_size, null::varchar trailer
+ cast({' + '.join(f"(coalesce({a}, '') <> '')::int" for a in _RAW_FIELDS)} as int) raw_size, trailer
 from fx_docmeta""")
 
 

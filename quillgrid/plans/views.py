@@ -62,8 +62,10 @@ def docmeta(spark: SparkSession, folder: str) -> DataFrame:
         "'Producer 1.0' producer",
         "concat('D:20240', cast(1 + doc_id % 9 as string), lpad(cast(1 + doc_id % 28 as string), 2, '0'),"
         " '103000-05''00''') creation_date",
-        "case when doc_id % 4 = 0 then '' else concat('2023-0', cast(1 + doc_id % 9 as string), '-01') end mod_date",
+        "case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then concat('2023-0', cast(1 + doc_id % 9 as string), '-01')"
+        " else concat('D:20230', cast(1 + doc_id % 9 as string), lpad(cast(1 + doc_id % 27 as string), 2, '0'), '120000Z') end mod_date",
         "'PDF 1.7' format",
+        "case when doc_id % 7 = 0 then concat('<< /Size ', cast(doc_id as string), ' >>') end trailer",
     )
 
 
@@ -245,7 +247,7 @@ def grants(spark: SparkSession, folder: str) -> DataFrame:
 def task_events(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "cast(user_id as string) task_id",
-        "case when user_id % 2 = 0 then 'dropbox_sync' else 'classify_s3' end kind",
+        "case when user_id % 2 = 0 then 'nightly_copy' else 'label_batch' end kind",
         "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running'"
         " when 'purchase' then 'succeeded' else 'failed' end status",
         "ts updated_at",
@@ -295,8 +297,9 @@ VIEW_SQL = {
   concat('Title ', cast(doc_id as varchar)) title, lang author, cast(null as varchar) subject,
   case when doc_id % 3 = 0 then concat(lang, ', ', source) end keywords, 'Producer 1.0' producer,
   concat('D:20240', cast(1 + doc_id % 9 as varchar), lpad(cast(1 + doc_id % 28 as varchar), 2, '0'), '103000-05''00''') creation_date,
-  case when doc_id % 4 = 0 then '' else concat('2023-0', cast(1 + doc_id % 9 as varchar), '-01') end mod_date,
-  'PDF 1.7' format
+  case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then concat('2023-0', cast(1 + doc_id % 9 as varchar), '-01')
+   else concat('D:20230', cast(1 + doc_id % 9 as varchar), lpad(cast(1 + doc_id % 27 as varchar), 2, '0'), '120000Z') end mod_date,
+  'PDF 1.7' format, case when doc_id % 7 = 0 then concat('<< /Size ', cast(doc_id as varchar), ' >>') end trailer
  from documents""",
     "fx_catalogue": """
  select concat('doc/', doc_id) doc_id, concat(source, '/', doc_id) source_path from documents
@@ -362,7 +365,7 @@ VIEW_SQL = {
   true has_refresh_token, 'files.metadata.read' scope
  from orders group by o_custkey""",
     "fx_task_events": """
- select cast(user_id as varchar) task_id, case when user_id % 2 = 0 then 'dropbox_sync' else 'classify_s3' end kind,
+ select cast(user_id as varchar) task_id, case when user_id % 2 = 0 then 'nightly_copy' else 'label_batch' end kind,
   case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running'
    when 'purchase' then 'succeeded' else 'failed' end status, ts updated_at, event_id
  from events""",
