@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from quillgrid.functions import geometry as g
 from quillgrid.operators.boxes import point_in_box_join
-from quillgrid.operators.numbering import with_position
+from quillgrid.operators.numbering import Key, with_position
+from quillgrid.session import materialise
 
 TABLE = "Table"
 
@@ -81,7 +82,7 @@ def label_detections(detections: DataFrame, model: str = LAYOUT_MODEL) -> DataFr
     )
 
 
-def number_detections(detections: DataFrame, order: Sequence[Column]) -> DataFrame:
+def number_detections(detections: DataFrame, order: Sequence[Key]) -> DataFrame:
     """Give detections that come without an ordinal a ``det_no`` per page."""
     return with_position(detections, ["doc_id", "page_number"], order, position="det_no")
 
@@ -186,6 +187,7 @@ def table_members(blocks: DataFrame, labelled: DataFrame, zoom: float = 1.0, num
     if not numbered:
         return members
     order = [F.col("y0"), F.col("x0"), F.col("block_no")]
+    members = materialise(members)  # the join runs once
     return with_position(members, ["doc_id", "page_number", "det_no"], order, position="reading_order")
 
 

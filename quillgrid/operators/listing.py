@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.files import has_suffix, parent_folder
-from quillgrid.operators.numbering import with_position
+from quillgrid.operators.numbering import Key, sort_columns, with_position
 
 
 def in_folder(files: DataFrame, folder: str) -> DataFrame:
@@ -61,19 +61,24 @@ def pdf_paths(files: DataFrame, path: str = "path", case_sensitive: bool = False
     return files.filter(has_suffix(F.col(path), ".pdf", case_sensitive)).orderBy(path)
 
 
-def name_order(descending: bool = False, collation: str | None = "UNICODE") -> list[Column]:
+def name_keys(descending: bool = False, collation: str | None = "UNICODE") -> list[Key]:
     """Folders first whatever the direction, then by name, then by id."""
     name = F.collate(F.col("name"), collation) if collation else F.col("name")
-    return [
-        F.when(F.col("file_type") == "folder", 0).otherwise(1).asc(),
-        name.desc() if descending else name.asc(),
-        F.col("id").asc(),
-    ]
+    return [F.when(F.col("file_type") == "folder", 0).otherwise(1), (name, descending), F.col("id")]
+
+
+def name_order(descending: bool = False, collation: str | None = "UNICODE") -> list[Column]:
+    """``name_keys`` as columns for ``orderBy``."""
+    return sort_columns(name_keys(descending, collation))
+
+
+def time_keys(descending: bool = False) -> list[Key]:
+    return [(F.col("modified_time"), descending), F.col("id")]
 
 
 def time_order(descending: bool = False) -> list[Column]:
-    time = F.col("modified_time")
-    return [time.desc() if descending else time.asc(), F.col("id").asc()]
+    """``time_keys`` as columns for ``orderBy``."""
+    return sort_columns(time_keys(descending))
 
 
 def browse(
@@ -89,7 +94,7 @@ def browse(
     return ignoring(of_types_lenient(kept, extensions), ignore)
 
 
-def navigation(files: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def navigation(files: DataFrame, keys: Sequence[str], order: Sequence[Key]) -> DataFrame:
     """Position, group size and the neighbours' ids of every file in its ordered group."""
     return with_position(files, keys, order, total="file_count", neighbour="id")
 

@@ -1,52 +1,107 @@
 """Positions within ordered groups, whatever the size of a group.
 
-A plain ``row_number`` window puts a whole group into one task. Here the rows
-are range-partitioned on group and order first, so a large group is spread over
-many segments; at most two summary rows per segment are needed to turn local
-numbers into positions within the whole group.
+A plain ``row_number`` window puts a whole group into one task. Here a bounded
+sample of the group and order columns fixes cut points first, and the segment of
+a row follows from comparing it with them. So a large group is spread over many
+segments, rows are shuffled once, and at most two summary rows per segment turn
+local numbers into positions within the whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isqrt
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from quillgrid.session import materialise
+from pyspark.sql.types import StructType
 
 _SEGMENT = "__segment"
+# Sampled rows per segment that fix the cut points.
+SAMPLED_PER_SEGMENT = 40
 # Spark's own limit for cutting groups before a row_number window (windowGroupLimitThreshold).
 _SHORT = 1000
 
+# A column to order by, ascending, or with True for descending. NULL is the smallest value.
+Key = Column | tuple[Column, bool]
+
+
+def _pair(key: Key) -> tuple[Column, bool]:
+    return (key, False) if isinstance(key, Column) else key
+
+
+def sort_columns(order: Sequence[Key]) -> list[Column]:
+    """The keys as columns for ``orderBy`` and windows."""
+    return [c.desc() if down else c.asc() for c, down in map(_pair, order)]
+
 
 def _same(left: str, names: Sequence[str], right: str) -> Column:
     pairs = [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
     return reduce(and_, pairs)
 
 
-def _spanning(rows: DataFrame, numbered: DataFrame, keys: Sequence[str], neighbour: str | None) -> DataFrame:
-    """What a segment must know of the rest of its first and last group.
+def _cut_points(df: DataFrame, sort: Sequence[Key], segments: int) -> DataFrame:
+    """Rows at which segments begin, in order: at most ``segments - 1``, from a sample of a bounded size.
 
-    Only these two groups can go on in another segment, so there are at most two
-    rows per segment, however large the table is.
+    The result is a local table with the columns ``c0, c1, ...``.
+    """
+    narrow = df.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(map(_pair, sort))])
+    rows, wanted = narrow.count(), SAMPLED_PER_SEGMENT * segments
+    sample = narrow.sample(wanted / rows, seed=1) if rows > wanted else narrow
+    downs = [down for _, down in map(_pair, sort)]
+    ordered = sample.orderBy(*sort_columns([(F.col(f"c{i}"), down) for i, down in enumerate(downs)])).collect()
+    step = -(-len(ordered) // segments) or 1
+    cuts = list(dict.fromkeys(ordered[step::step]))
+    return df.sparkSession.createDataFrame(cuts, narrow.schema)
+
+
+def _segment_of(sort: Sequence[Key], cuts: list, schema: StructType) -> Column:
+    """How many of the ordered cut points are at or before the row, in two steps of about sqrt(n) comparisons."""
+    if not cuts:
+        return F.lit(0)
+
+    def literal(cut) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, schema)])
+
+    def reached(cut: Column) -> Column:
+        found = F.lit(True)
+        for i, (c, down) in reversed(list(enumerate(map(_pair, sort)))):
+            row, at = F.struct(c.alias("c")), F.struct(cut[f"c{i}"].alias("c"))  # structs compare NULLs too
+            found = (row < at if down else row > at) | ((row == at) & found)
+        return found
+
+    step = isqrt(len(cuts) - 1) + 1
+    chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    heads = F.array(*[literal(c[0]) for c in chunks])
+    # Cut points ascend, so all chunks before the last one whose head is reached are reached wholly.
+    chunk = F.size(F.filter(heads, reached))
+    inside = F.element_at(F.array(*[F.array(*map(literal, c)) for c in chunks]), F.greatest(chunk, F.lit(1)))
+    return F.when(chunk == 0, F.lit(0)).otherwise((chunk - 1) * step + F.size(F.filter(inside, reached)))
+
+
+def _spanning(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], sort: Sequence[Column], neighbour: str | None) -> DataFrame:
+    """What a segment must know of the rest of the groups that go on in other segments.
+
+    Those hold a cut point, so there are at most two rows per segment, however
+    large the table is.
     """
     names = [_SEGMENT, *keys]
     if keys:
-        group = F.struct(*keys)
-        ends = rows.groupBy(_SEGMENT).agg(F.array(F.min(group), F.max(group)).alias("__ends"))
-        ends = ends.select(_SEGMENT, F.explode(F.array_distinct("__ends")).alias("__end")).select(_SEGMENT, "__end.*")
-        numbered = numbered.alias("r").join(F.broadcast(ends).alias("e"), _same("r", names, "e"), "left_semi")
+        split = cuts.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keys)]).distinct()
+        # At most one row per cut point.
+        rows = rows.alias("r").join(F.broadcast(split).alias("e"), _same("r", keys, "e"), "left_semi")
     summary = [F.count(F.lit(1)).alias("__rows")]
     if neighbour:
+        local = Window.partitionBy(*names).orderBy(*sort)
+        rows = rows.withColumn("__local", F.row_number().over(local))
         value = F.struct(neighbour)
         summary += [
             F.max(F.when(F.col("__local") == 1, value))[neighbour].alias("__first"),
             F.max_by(value, "__local")[neighbour].alias("__last"),
         ]
-    spans = numbered.groupBy(*names).agg(*summary)
+    spans = rows.groupBy(*names).agg(*summary)
     across = Window.partitionBy(*keys).orderBy(_SEGMENT)
     so_far = F.sum("__rows").over(across.rowsBetween(Window.unboundedPreceding, -1))
     added = {
@@ -62,7 +117,7 @@ def _spanning(rows: DataFrame, numbered: DataFrame, keys: Sequence[str], neighbo
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Key],
     *,
     position: str = "position",
     total: str | None = None,
@@ -70,25 +125,30 @@ def with_position(
 ) -> DataFrame:
     """Add the 1-based ``position`` of each row within its group.
 
-    ``order`` should end in a column that is unique within the group: rows that
-    tie on it all fall into one segment and get an arbitrary order. ``keys`` may
-    be empty, which numbers the whole table. ``total`` adds the group size under
-    that name; ``neighbour`` adds ``previous_<name>`` and ``next_<name>``.
+    ``order`` holds columns of plain types, or pairs ``(column, True)`` for
+    descending ones. It should end in a column that is unique within the group:
+    rows that tie on it all fall into one segment and get an arbitrary order.
+    ``keys`` may be empty, which numbers the whole table. ``total`` adds the
+    group size under that name; ``neighbour`` adds ``previous_<name>`` and
+    ``next_<name>``. The group and order columns of ``df`` are evaluated four
+    times, its rows once: write them first if they are costly or not
+    deterministic. The cut points are taken when this function is called.
     """
-    group = [F.col(k) for k in keys]
-    spread = df.repartitionByRange(*group, *order).withColumn(_SEGMENT, F.spark_partition_id())
-    # The segment of a row must be the same in all uses below.
-    rows = materialise(spread)
-
-    names = [_SEGMENT, *keys]
-    local = Window.partitionBy(*names).orderBy(*order)
+    spark = df.sparkSession
+    segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = [*[F.col(k) for k in keys], *order]
+    cuts = _cut_points(df, keyed, segments)
+    rows = df.withColumn(_SEGMENT, _segment_of(keyed, cuts.collect(), cuts.schema))
+
+    names, sort = [_SEGMENT, *keys], sort_columns(order)
+    local = Window.partitionBy(*names).orderBy(*sort)
     inside = {"__local": F.row_number().over(local)}
     if total or neighbour:
         inside["__here"] = F.count(F.lit(1)).over(Window.partitionBy(*names))
     if neighbour:
         inside |= {"__lag": F.lag(neighbour).over(local), "__lead": F.lead(neighbour).over(local)}
-    numbered = rows.withColumns(inside)
-    spans = _spanning(rows, numbered if neighbour else rows, keys, neighbour)
+    numbered = rows.repartitionById(segments, F.col(_SEGMENT)).withColumns(inside)
+    spans = _spanning(rows, cuts, keys, sort, neighbour)
     # At most two rows per segment, see _spanning.
     joined = numbered.alias("r").join(F.broadcast(spans).alias("s"), _same("r", names, "s"), "left")
 
@@ -104,7 +164,7 @@ def with_position(
 
 
 def slice_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], start: int = 0, stop: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Key], start: int = 0, stop: int | None = None
 ) -> DataFrame:
     """Rows ``start <= index < stop`` of each ordered group; ``stop=None`` means to the end."""
     start = max(start, 0)
@@ -112,9 +172,9 @@ def slice_rows(
         return df.filter(F.lit(False))
     if stop is not None and stop <= _SHORT:
         if not keys:
-            return df.orderBy(*order).offset(start).limit(stop - start)
+            return df.orderBy(*sort_columns(order)).offset(start).limit(stop - start)
         # With so low a bound on row_number every task cuts its groups before the shuffle.
-        numbered = df.withColumn("__position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        numbered = df.withColumn("__position", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order))))
     else:
         numbered = with_position(df, keys, order, position="__position")
     kept = numbered.filter(F.col("__position") > start)

@@ -85,7 +85,7 @@ from plan"""
 def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
     """Children of every folder in display order: folders first, then names, descending."""
     listed = v.files(spark, folder).withColumn("parent", fn.parent_folder(F.col("path")))
-    order = ls.name_order(descending=True, collation=None)
+    order = ls.name_keys(descending=True, collation=None)
     return with_position(listed, ["parent"], order).select("parent", "name", "file_type", "position")
 
 
@@ -100,7 +100,7 @@ def folder_browse(spark: SparkSession, folder: str) -> DataFrame:
     kept = ls.browse(
         v.files(spark, folder), "medium/s%20F", source="dropbox", extensions=["pdf", "xlsx"], ignore=r"F1\d*\.PDF$"
     )
-    return with_position(kept, [], ls.name_order(collation=None)).select("id", "name", "path", "source", "position")
+    return with_position(kept, [], ls.name_keys(collation=None)).select("id", "name", "path", "source", "position")
 
 
 FOLDER_BROWSE_SQL = with_views("fx_files", """
@@ -112,7 +112,7 @@ where regexp_matches(path, '^/medium/s%20F/[^/]*$') and source = 'dropbox' and (
 def file_search(spark: SparkSession, folder: str) -> DataFrame:
     """Names containing a text, of two strict types, newest first, numbered per source."""
     hits = ls.of_types_strict(ls.named_like(v.files(spark, folder), "F12"), ["pdf", "docx"])
-    return with_position(hits, ["source"], ls.time_order(descending=True)).select(
+    return with_position(hits, ["source"], ls.time_keys(descending=True)).select(
         "source", "id", "name", "modified_time", "position"
     )
 
@@ -206,7 +206,7 @@ SHARED_INITIALS_SQL = """select o_orderkey id, concat(upper(substr(o_orderpriori
 
 
 def file_navigation(spark: SparkSession, folder: str) -> DataFrame:
-    return ls.navigation(v.files(spark, folder), ["source"], ls.name_order(collation=None)).select(
+    return ls.navigation(v.files(spark, folder), ["source"], ls.name_keys(collation=None)).select(
         "source", "id", "position", "file_count", "previous_id", "next_id"
     )
 

@@ -28,9 +28,9 @@ def many_partitions(spark):
 
 @pytest.mark.parametrize("descending", [False, True])
 def test_positions_equal_a_window(spark, skewed, many_partitions, descending):
-    order = [F.col("v").desc() if descending else F.col("v").asc()]
+    order = [(F.col("v"), descending)]
     got = with_position(skewed, ["k"], order, total="n", neighbour="v")
-    w = Window.partitionBy("k").orderBy(*order)
+    w = Window.partitionBy("k").orderBy(F.col("v").desc() if descending else F.col("v").asc())
     want = skewed.select(
         "k", "v", F.row_number().over(w).cast("bigint"), F.count("*").over(Window.partitionBy("k")), F.lag("v").over(w), F.lead("v").over(w)
     )
@@ -42,6 +42,32 @@ def test_a_large_group_spans_segments(spark, skewed, many_partitions):
     assert spread.count() > 2
 
 
+def test_rows_are_shuffled_once_and_not_checkpointed(spark, skewed, many_partitions):
+    wide = skewed.withColumn("payload", F.concat("k", "v"))
+    plan = with_position(wide, ["k"], [F.col("v")], total="n")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line and "Broadcast" not in line]
+    assert sum("shufflepartitionidpassthrough" in line for line in exchanges) == 1
+    # The rows are no checkpoint: only the cut points were computed before.
+    assert "payload" in plan and all("payload" not in line for line in plan.splitlines() if "ExistingRDD" in line)
+
+
+def test_mixed_directions_and_nulls(spark, many_partitions):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1.5, -2.0, float("nan")]), rng.choice([None, "x", "é", "Z"]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, d double, s string, id bigint").repartition(5)
+    for down in ((True, False), (False, True), (True, True)):
+        got = with_position(df, ["k"], [(F.col("d"), down[0]), (F.col("s"), down[1]), F.col("id")], neighbour="s")
+        order = [F.desc(c) if x else F.asc(c) for c, x in zip("ds", down)]
+        w = Window.partitionBy("k").orderBy(*order, "id")
+        want = df.select("*", F.row_number().over(w).cast("bigint"), F.lag("s").over(w), F.lead("s").over(w))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.toDF(*got.columns).collect()))
+
+
+def test_empty_table(spark, many_partitions):
+    empty = spark.createDataFrame([], "k string, v bigint")
+    assert with_position(empty, ["k"], [F.col("v")], total="n", neighbour="v").collect() == []
+
+
 def test_whole_table(spark, skewed, many_partitions):
     got = with_position(skewed.select("v").distinct(), [], [F.col("v")]).collect()
     assert all(r.position == r.v + 1 for r in got)
