@@ -13,7 +13,7 @@ budgets of the whole chain before their full Hamming distance is taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,18 +35,24 @@ CHAIN = 6
 BLOCK = 4096
 
 
-def text_fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text: majority vote over the 64-bit hashes of its word shingles, 0 without words."""
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text; fewer words than a shingle has are one."""
     words = raw.lower().split()  # of bytes: A-Z only, and \x20 \x09-\x0d
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate([len(w) + 1 for w in words]))
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
     n = max(len(words) - shingle + 1, 1)
     last = ends[min(shingle, len(words)) - 1 :]
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, last)), np.uint64, n)
+    return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, last)), np.uint64, n)
+
+
+def text_fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of one text: majority vote over the 64-bit hashes of its word shingles, 0 without words."""
+    hashes = shingle_hashes(raw, shingle)
+    n = len(hashes)
     votes = np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # bounds the unpacked bits of a very long text
         block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -143,6 +149,22 @@ def _linked(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
     return us, vs
 
 
+def dealt_keys(keyed: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
+    """``keyed`` (``fp``, ``key`` and others), with keys of over ``block`` rows replaced by keys of pairs of their blocks."""
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block)
+    # A crowded key needs over `block` of the rows; written, as it is used twice.
+    crowded = written(crowded.select("key", F.ceil(F.col("rows") / (block // 2)).cast("int").alias("parts")), name)
+    if crowded.isEmpty():
+        return keyed
+    others = [c for c in keyed.columns if c != "key"]
+    own = F.pmod(F.xxhash64("fp", F.lit(len(key_masks()))), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    marked = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = marked.withColumn("own", own).withColumn("other", other)
+    blocks = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return placed.select(*others, F.when(F.col("parts") == 1, F.col("key")).otherwise(blocks).alias("key"))
+
+
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between distinct fingerprints ``fp`` that connect all that are near.
 
@@ -151,20 +173,9 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     copies. A key with more than ``block`` fingerprints is split: every pair of
     its blocks is compared in a task of its own.
     """
-    n_masks = len(key_masks())
     every = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, (_, m) in enumerate(key_masks())])
     keyed = fps.select("fp", F.explode(every).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > block)
-    # A crowded key needs over `block` of the fps * n_masks rows; written, as it is used twice.
-    crowded = written(crowded.select("key", F.ceil(F.col("rows") / (block // 2)).cast("int").alias("parts")), "simhash-crowded")
-    dealt = keyed
-    if not crowded.isEmpty():
-        own = F.pmod(F.xxhash64("fp", F.lit(n_masks)), F.col("parts")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        marked = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        placed = marked.withColumn("own", own).withColumn("other", other)
-        blocks = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = placed.select("fp", F.when(F.col("parts") == 1, F.col("key")).otherwise(blocks).alias("key"))
+    dealt = dealt_keys(keyed, "simhash-crowded", block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_v = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -217,21 +228,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(documents: DataFrame) -> DataFrame:
+def without_near_duplicates(documents: DataFrame, marks: Callable = fingerprints, groups: Callable = components) -> DataFrame:
     """The rows of ``documents`` without near copies: of each component one row stays.
 
     That is the row with the smallest id; rows without an id come last, and of
     rows with the same id the one with the smallest text hash stays. All columns
-    are kept as they are.
+    are kept as they are. ``marks`` gives each row's ``fp``, and ``groups`` the
+    component of each; by default those of ``near_duplicates``.
     """
     id_key, text_key, place = (fresh(documents, c) for c in ("__id", "__hash", "__place"))
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = documents.withColumns({id_key: ids, text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
     # The two columns that name a row travel with its fingerprint as its id.
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(id_key).alias("k"), F.col(text_key).alias("h"))
-    found = written(fingerprints(keyed.select(rank.alias("doc_id"), "text")), "simhash")
+    found = written(marks(keyed.select(rank.alias("doc_id"), "text")), "simhash")
     first = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    kept = components(found).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = groups(found).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
     names = kept.select(F.col("first.k").alias(id_key), F.col("first.h").alias(text_key))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, cross_entropy, importance, license_scan, merkle, packing, simhash, slabs, topk, toxicity, warc
+from quillgrid.llm import bpe, cross_entropy, importance, license_scan, merkle, packing, similar, simhash, slabs, topk, toxicity, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, fp int, `range` int, rank int, slab int"
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -186,6 +187,33 @@ def test_repeated_rows_and_missing_ids_in_the_dedup(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_similar_texts_equal_brute_force(spark):
+    base = prose(8, 300).split()
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for j in range(i % 10):
+            words[(i * 37 + j * 29) % 300] = f"w{i}x{j}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:150]) + " " + prose(200 + i, 150) for i in range(30)] + ODD[:9] + ["A b", "a B"]
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set())
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+    found = similar.shingle_sets(documents(spark, texts))
+    for block in (4096, 8):  # the small one splits crowded keys
+        roots = {r.fp: r.root for r in similar.components(found, block=block).collect()}
+        assert len(set(roots.values())) == len(set(group))
+
+
 def test_maximal_segments():
     assert toxicity.maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(4, 0, 1), (3, 2, 3), (7, 4, 11)]
     assert toxicity.maximal_segments([]) == [] and toxicity.maximal_segments([-1.0]) == []
