@@ -5,11 +5,14 @@ of the values in it; a vector's cells bound its inner product with a query from
 above and below. A task scans the cells of one block for a block of queries, and
 reads exact vectors in the order of their upper bounds until the k-th best score
 so far is above the next bound. Blocks meet blocks through an equi-join on a
-stripe number, so each query block goes through every stripe once.
+stripe number, so each query block goes through every stripe once. Vectors with
+components too large for exact 64-bit floats are scored one by one in integers.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +29,24 @@ QUERY_EVERY = 20
 CELLS = 16
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-# Sums of 64-bit products stay exact up to this size of a component, and 64-bit floats hold the bounds.
-LARGEST = 1 << 24
+# From this size on a 64-bit float is a whole number.
+WHOLE = 1 << 53
 _READ = 64
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, v array<int>``: the components times 64, rounded down.
+    """``vec_id, v array<double>``: the components rounded down to whole 64ths, without any error.
 
-    Left out are vectors that are NULL or empty, hold a NULL or non-finite
-    component, or one whose integer is beyond 2**24 (its scores would not be
-    exact), and rows without an id.
+    Left out are vectors that are NULL or empty or hold a NULL or non-finite
+    component, and rows without an id.
     """
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) <= LARGEST))
+    def part(x):
+        x = x.cast("double")
+        return F.when(F.abs(x) < WHOLE, F.floor(x * SCALE).cast("double") / SCALE).otherwise(x)
+
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    return embeddings.filter(whole).filter(fine).select("vec_id", scaled.cast("array<int>").alias("v"))
+    return embeddings.filter(whole).filter(fine).select("vec_id", F.transform("embedding", part).alias("v"))
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -97,6 +102,51 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray
     return out
 
 
+def _integers(v: np.ndarray) -> np.ndarray:
+    """Vectors of 64ths as Python integers."""
+    whole = [[int(x) * SCALE if abs(x) >= WHOLE else int(x * SCALE) for x in row] for row in v.tolist()]
+    return np.array(whole, object).reshape(v.shape)
+
+
+def best_of_any_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[list, list, list]:
+    """As ``best_of_block``, of vectors of 64ths of any size.
+
+    Bounds and scores of vectors whose products stay below 2**53 are exact
+    floats. The others are scored in 64-bit integers where these are wide
+    enough, and else in Python's. A score that the result's type can't hold is
+    an error, not a missing row.
+    """
+    dim = v.shape[1]
+    most = math.isqrt((1 << 53) // dim) / SCALE
+    small_q, small_v = (np.abs(x).max(axis=1) <= most for x in (q, v))
+    if small_q.all() and small_v.all():
+        return best_of_block(qid, q * SCALE, ids, v * SCALE, k)
+    best: list[list] = [[] for _ in qid]
+    a, b = np.flatnonzero(small_q), np.flatnonzero(small_v)
+    if len(a) and len(b):
+        for i, j, score in zip(*best_of_block(qid[a], q[a] * SCALE, ids[b], v[b] * SCALE, k)):
+            best[a[i]].append((-score, int(ids[b[j]]), int(b[j])))
+    for a, b in ((np.flatnonzero(~small_q), np.arange(len(ids))), (np.flatnonzero(small_q), np.flatnonzero(~small_v))):
+        if not len(a) or not len(b):
+            continue
+        left, right = _integers(q[a]), _integers(v[b])
+        if dim * int(abs(left).max()) * int(abs(right).max()) < 1 << 62:
+            left, right = left.astype(np.int64), right.astype(np.int64)
+        for i, x in zip(a, left):
+            scores = (right @ x).tolist()
+            rows = ((-s, int(ids[j]), int(j)) for s, j in zip(scores, b) if ids[j] != qid[i])
+            best[i].extend(heapq.nsmallest(k, rows))
+    out: tuple[list, list, list] = ([], [], [])
+    for i, rows in enumerate(best):
+        for score, _, j in heapq.nsmallest(k, rows):
+            if not -(1 << 63) <= -score < 1 << 63:
+                raise OverflowError(f"the score of vectors {qid[i]} and {ids[j]} exceeds a bigint")
+            out[0].append(i)
+            out[1].append(j)
+            out[2].append(-score)
+    return out
+
+
 def top_k(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, stripes: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of all other rows for each row whose id ``every`` divides.
 
@@ -121,7 +171,7 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, stripes:
                 dim = batch.column(0)[r].as_py()
                 qid, q, ids, v = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
                 q, v = q.reshape(-1, dim).astype(np.float64), v.reshape(-1, dim).astype(np.float64)
-                at, which, score = best_of_block(qid, q, ids, v, k)
+                at, which, score = best_of_any_block(qid, q, ids, v, k)
                 # Queries with one id but different vectors stay apart by a hash of the vector.
                 marks = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in q], np.uint64).view(np.int64)
                 columns = [qid[at], marks[at], ids[which], np.array(score, np.int64)]

@@ -277,6 +277,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(100)]
+    rows += [(100, [3e5] * 64), (101, [-3e5] * 64), (102, [2.0**24 - 1] * 64), (103, [2.0**22 + 1] * 64), (104, [float("inf")] * 64), (105, [1e9] + [0.0] * 63)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    whole = {i: [int(x // 1) for x in 64 * np.array(v, np.float32).astype(float)] for i, v in rows if i != 104}
+    want = set()
+    for q in range(0, 101, 20):
+        scores = sorted((-sum(x * y for x, y in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:20]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
 @pytest.mark.parametrize("texts", [ODD, []])
 def test_bpe(spark, texts):
     encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
