@@ -137,7 +137,7 @@ def look_up(slabs: DataFrame, answer: Callable, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([slab]), pa.array([bucket], pa.int32()), pa.array([value], pa.binary())], names=["slab", "bucket", "value"])
 
     pieces = slabs.select("slab", F.posexplode("units").alias("bucket", "piece"))
-    dealt = pieces.repartition(n, "bucket").sortWithinPartitions("bucket", "slab")
+    dealt = pieces.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "slab")
     return dealt.mapInArrow(run, "slab bigint, bucket int, value binary")
 
 
