@@ -144,9 +144,6 @@ def test_near_duplicates_equal_brute_force(spark):
                 group = [min(a, b) if g in (a, b) else g for g in group]
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(documents(spark, texts)).collect()}
     assert got == {i: (f"{fps[i]:016x}", group[i]) for i in range(len(texts))}
-    kept = simhash.without_near_duplicates(documents(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
-    assert kept.columns == documents(spark, []).columns
 
 
 def test_links_lose_no_near_pair(spark):
@@ -182,8 +179,9 @@ def test_links_lose_no_near_pair(spark):
 def test_repeated_rows_and_missing_ids_in_the_dedup(spark):
     rows = [(5, "same text here now"), (5, "same text here now"), (None, "same text here now"), (None, "all alone in this one")]
     assert {r.component_id for r in simhash.near_duplicates(documents(spark, rows)).collect()} == {5, None}
-    kept = simhash.without_near_duplicates(documents(spark, rows)).collect()
+    kept = similar.without_near_duplicates(documents(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.text) for r in kept) == [(False, "same text here now"), (True, "all alone in this one")]
+    assert similar.without_near_duplicates(documents(spark, [])).count() == 0
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
@@ -206,12 +204,28 @@ def test_similar_texts_equal_brute_force(spark):
             if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
-    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "")
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
-    found = similar.shingle_sets(documents(spark, texts))
+    assert corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "").columns == documents(spark, []).columns
     for block in (4096, 8):  # the small one splits crowded keys
-        roots = {r.fp: r.root for r in similar.components(found, block=block).collect()}
-        assert len(set(roots.values())) == len(set(group))
+        kept = similar.without_near_duplicates(documents(spark, texts).repartition(3), block=block)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+        assert {r.doc_id: r.text for r in kept.collect()} == {i: texts[i] for i in set(group)}
+
+
+def test_links_of_near_copies_are_linear(spark):
+    def linked(n):
+        base, texts = prose(9, 120).split(), []
+        for i in range(n):
+            words, rng = list(base), random.Random(i)
+            for j in rng.sample(range(120), rng.randint(1, 4)):
+                words[j] = f"w{i}x{j}"
+            texts.append(" ".join(words))
+        marked = similar.written(similar._marked(documents(spark, texts), 5, (4, 5)), "marked")
+        blocks = similar._blocks(marked)
+        return blocks.count(), similar.links(marked).count()
+
+    for n in (500, 2000):
+        members, links = linked(n)
+        assert members < 12 * n and links < 3 * n
 
 
 def test_maximal_segments():
