@@ -5,6 +5,9 @@ its units (words, pairs of words) as numbers into a dictionary of its distinct
 units, and only dictionaries are shuffled by unit: in pieces, one per slab and
 hash bucket. The values come back by slab and bucket, in the order of the
 dictionary, and are put together with the slab's numbers.
+
+A slab either keeps its units as numbers (``slab_rows``, ``assemble``) or its
+texts, from which the units are taken anew (``text_slabs``, ``joined``).
 """
 
 from __future__ import annotations
@@ -113,6 +116,89 @@ def slab_rows(documents: DataFrame, split: Callable, n: int) -> DataFrame:
     return texts.mapInArrow(run, f"slab bigint, ids array<{kind}>, sizes array<bigint>, seq binary, units array<binary>")
 
 
+def pack_sorted(values: np.ndarray) -> list[np.ndarray]:
+    """Ascending numbers below 2**48 as steps, in three arrays of 16 bits."""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    return [(steps >> np.uint64(shift)).astype("<u2") for shift in (0, 16, 32)]
+
+
+def unpack_sorted(*parts: np.ndarray) -> np.ndarray:
+    steps = sum(part.astype(np.int64) << 16 * i for i, part in enumerate(parts))
+    return np.cumsum(steps)
+
+
+def bucket_ranges(buckets: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Start and end of each bucket in the ascending ``buckets``."""
+    at = np.searchsorted(buckets, np.arange(n + 1)).tolist()
+    return list(zip(at, at[1:]))
+
+
+def text_slabs(documents: DataFrame, units: Callable, size: int = SLAB_CHARS) -> DataFrame:
+    """``slab, ids, sizes, raw, units``: one row per slab of texts of about ``size`` bytes.
+
+    ``raw`` has the texts' UTF-8 one after another, compressed; a NULL text is empty. ``units`` takes the
+    slab's ids, its bytes and the texts' sizes, and returns a binary value for each bucket.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids, texts, held = [], [], 0
+
+        def row():
+            sizes = np.array([len(t) for t in texts], np.int64)
+            raw = b"".join(texts)
+            packed = pack_arrays(np.frombuffer(raw, np.uint8))
+            columns = [[(part << 32) + made], [ids], [sizes.tolist()], [packed], [units(ids, raw, sizes)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        schema = None
+        for batch in sliced(batches, 64):
+            if schema is None:
+                schema = pa.schema([("slab", pa.int64()), ("ids", pa.list_(batch.schema.field(0).type)), ("sizes", pa.list_(pa.int64())), ("raw", pa.binary()), ("units", pa.list_(pa.binary()))])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(doc)
+                texts.append(text)
+                held += len(text) + 1
+                if held >= size:
+                    yield row()
+                    made += 1
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield row()
+
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return texts.mapInArrow(run, f"slab bigint, ids array<{kind}>, sizes array<bigint>, raw binary, units array<binary>")
+
+
+def joined(texts: DataFrame, others: list[DataFrame], finish: Callable, schema: str, n: int) -> DataFrame:
+    """Bring rows ``slab, bucket, value`` of ``others`` to the rows of ``text_slabs``.
+
+    ``finish`` takes a slab's name, its ids as an Arrow array, the texts' sizes, their bytes and its values in
+    the order of the buckets, and yields record batches of ``schema``.
+    """
+    columns, last = ("ids", "sizes", "raw"), 1 << 30
+    empty = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns]
+    both = texts.select("slab", F.lit(last).alias("bucket"), F.lit(None).cast("binary").alias("value"), *columns)
+    for other in others:
+        both = both.unionByName(other.select("slab", "bucket", "value", *empty))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for batch in sliced(batches, 64):
+            for i, bucket in enumerate(batch.column(1).to_pylist()):
+                if bucket < last:
+                    held.append(batch.column(2)[i].as_py())
+                    continue
+                sizes = np.array(batch.column(4)[i].as_py(), np.int64)
+                (raw,) = unpack_arrays(batch.column(5)[i].as_py(), "u1")
+                yield from finish(batch.column(0)[i].as_py(), batch.column(3)[i].values, sizes, raw.tobytes(), held)
+                held = []
+
+    dealt = both.repartition(n, "slab").sortWithinPartitions("slab", "bucket")
+    return dealt.select("slab", "bucket", "value", *columns).mapInArrow(run, schema)
+
+
 def look_up(slabs: DataFrame, answer: Callable, n: int) -> DataFrame:
     """``slab, bucket, value``: each dictionary piece with what ``answer`` makes of it.
 
