@@ -9,7 +9,9 @@ points, and all other points, are noise (-1).
 The work is done on grid cells with a diagonal of ``eps``. All points of a cell
 are within ``eps`` of each other, so a crowded cell needs no pairs at all:
 equal points are merged first, and the points of two crowded cells are compared
-through ever smaller sub-cells instead of pair by pair. The result is exact.
+through ever smaller sub-cells instead of pair by pair. Vectors of more
+dimensions than a grid can be matched in are cut recursively instead (see
+``metric``). The result is exact.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.operators import metric
 from quillgrid.operators.components import connected_components
 from quillgrid.operators.search import total
 from quillgrid.operators.skew import HOT_ROWS, salted_join
@@ -335,6 +338,9 @@ def density_clusters(
     count, shortest, longest = placed.agg(F.count(F.lit(1)), F.min(F.size("coords")), longest).first()
     if shortest != longest:
         raise ValueError(f"vectors have {shortest} to {longest} elements")
+    if dimensions > _GRID_DIMENSIONS:
+        by_point = _clustered_by_cuts(placed.drop("cell"), eps, k, min_cluster_size, hot_rows, count)
+        return _every_row(rows, vectors, by_point, hot_rows)
     cells = materialise(
         placed.groupBy("cell").agg(
             F.min("pt").alias("cid"), F.sum("weight").alias("cell_weight"), *_bounds(dimensions)
@@ -360,6 +366,26 @@ def density_clusters(
         labelled.select("component", "cid"), kept, ["component"], spread=[F.col("cid")], hot_rows=hot_rows, rows=count
     ).select("cid", "cluster")
     by_point = salted_join(core.select("cid", "coords"), by_cell, ["cid"], spread=[F.col("coords")], hot_rows=hot_rows, rows=count)
+    return _every_row(rows, vectors, by_point, hot_rows)
+
+
+def _clustered_by_cuts(
+    points: DataFrame, eps: float, k: int, min_cluster_size: int, hot_rows: int, rows: int
+) -> DataFrame:
+    """``coords, cluster`` of the core points among the distinct ``points`` (``pt, coords, weight``), for many dimensions."""
+    celled = materialise(metric.cells(points, eps))
+    core = materialise(metric.neighbour_counts(celled, eps).filter(F.col("near") >= k).select("pt"))
+    linked = connected_components(materialise(metric.links(celled.join(core, "pt"), eps)), hot_rows)
+    cored = points.join(core, "pt").join(linked.withColumnRenamed("node", "pt"), "pt", "left")
+    labelled = materialise(cored.withColumn("component", F.coalesce("component", "pt")))
+    sizes = labelled.groupBy("component").agg(F.min("pt").alias("cluster"), F.sum("weight").alias("members"))
+    kept = sizes.filter(F.col("members") >= min_cluster_size).select("component", "cluster")
+    return salted_join(labelled, kept, ["component"], spread=[F.col("pt")], hot_rows=hot_rows, rows=rows).select("coords", "cluster")
+
+
+def _every_row(rows: DataFrame, vectors: DataFrame, by_point: DataFrame, hot_rows: int) -> DataFrame:
+    """``id, cluster`` of all rows; those that are no core point are noise."""
+    noise = F.lit(NOISE).cast("bigint")
     out = salted_join(
         vectors,
         by_point.select("coords", "cluster"),

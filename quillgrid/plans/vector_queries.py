@@ -34,6 +34,23 @@ DENSITY_CLUSTERS_SQL = with_views("fx_points", "", recursive=True).rstrip() + _c
   and (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= {EPS} * {EPS}""", MIN_SIZE) + """
 select id, coalesce(cluster, -1) cluster from fx_points p left join clustered c using (id)"""
 
+
+
+def density_clusters_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of the whole embeddings, at the eps that the distances to the fourth closest vectors suggest."""
+    vectors = v.table(spark, folder, "embeddings")
+    eps = round(cl.suggested_eps(vectors, MIN_SIZE, id_col="vec_id", vector_col="embedding"), 6)
+    return cl.density_clusters(vectors, eps, MIN_SIZE, id_col="vec_id", vector_col="embedding")
+
+
+DENSITY_CLUSTERS_FULL_SQL = f"""with recursive e as materialized (select vec_id id, embedding::double[] v from embeddings where embedding is not null),
+q as (select * from e order by md5(id::varchar), id limit {cl.SAMPLED}),
+pairs as materialized (select a.id, b.id other, list_distance(a.v, b.v) d from e a, e b),
+ranked as (select id, d, row_number() over (partition by id order by d) n from pairs where id in (select id from q)),
+chosen as materialized (select round(quantile_cont(d, {cl.CORE_SHARE}), 6) eps from ranked where n = {MIN_SIZE} and d > 0)""" + _components_sql(
+    "select id, other from pairs, chosen where d <= eps", MIN_SIZE) + """
+select vec_id id, coalesce(cluster, -1) cluster from embeddings left join clustered on id = vec_id"""
+
 LETTERS = "aeionrst"
 DOC_EPS, DOC_MIN_SIZE = 0.005, 3
 
@@ -121,6 +138,7 @@ order by score desc, vec_id limit 100"""
 
 QUERIES = {
     "density_clusters": density_clusters,
+    "density_clusters_full": density_clusters_full,
     "cluster_documents": cluster_documents,
     "embed_documents": embed_documents,
     "layout_2d": layout_2d,
@@ -130,6 +148,7 @@ QUERIES = {
 }
 ORACLES = {
     "density_clusters": DENSITY_CLUSTERS_SQL,
+    "density_clusters_full": DENSITY_CLUSTERS_FULL_SQL,
     "cluster_documents": CLUSTER_DOCUMENTS_SQL,
     "embed_documents": EMBED_DOCUMENTS_SQL,
     "layout_plane": LAYOUT_PLANE_SQL,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators import cluster as cl
+from quillgrid.operators import metric
 from quillgrid.operators.components import connected_components
 
 
@@ -192,3 +193,55 @@ def test_eps_is_chosen_from_the_data(spark):
     assert sum(c >= 0 for c in clusters.values()) >= 60
     copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id bigint, coords array<double>")
     assert {r.cluster for r in cl.density_clusters(copies).collect()} == {0}
+
+
+@pytest.mark.parametrize("dimensions, leaf", [(6, 10), (16, 25)])
+def test_cuts_in_many_dimensions(spark, monkeypatch, dimensions, leaf):
+    monkeypatch.setattr(metric.cells, "__defaults__", (leaf, 4))
+    rng = random.Random(dimensions)
+    centres = [[rng.uniform(0, 6) for _ in range(dimensions)] for _ in range(12)]
+    points = {i: [c + rng.gauss(0, 0.2) for c in centres[i % 12]] for i in range(240)}
+    points |= {i: [rng.uniform(0, 6) for _ in range(dimensions)] for i in range(240, 280)}
+    points |= {i: points[i % 7] for i in range(280, 340)}
+    eps = 0.3 * math.sqrt(dimensions)
+    want = brute_clusters(points, eps, 4, 4)
+    assert run(spark, points, eps, 4) == want and len(set(want.values())) > 3
+
+
+def test_cells_hold_all_neighbours_of_their_points(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(i % 5, 0.5) for _ in range(8)], 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "pt bigint, coords array<double>, weight int")
+    celled = metric.cells(df, 0.9, leaf=20).collect()
+    inside = {}
+    for r in celled:
+        inside.setdefault(r.cell, set()).add(r.pt)
+    assert sorted(r.pt for r in celled if r.own) == list(range(300)) and len(inside) > 10
+    for r in celled:
+        if r.own:
+            near = {i for i, coords, _ in rows if math.dist(coords, r.coords) <= 0.9}
+            assert near <= inside[r.cell]
+
+
+def test_candidates_grow_with_the_rows(spark):
+    """Four times the rows, spread over four times the area of a plane in 64 dimensions: so grow the pairs to compare."""
+
+    def candidates(n):
+        rng = random.Random(1)
+        axes = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(2)]
+        side = math.sqrt(n) / 10
+        places = [(rng.uniform(0, side), rng.uniform(0, side)) for _ in range(n // 25)]
+        centres = [[x * a + y * b for a, b in zip(*axes)] for x, y in places]
+        rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % len(centres)]], 1) for i in range(n)]
+        df = spark.createDataFrame(rows, "pt bigint, coords array<double>, weight int").repartition(4)
+        return metric.candidate_pairs(metric.cells(df, 0.7, leaf=64))
+
+    small, large = candidates(1000), candidates(4000)
+    assert large < 7 * small and large < 4000**2 / 12
+
+
+def test_equal_points_need_no_cut(spark):
+    df = spark.createDataFrame([(i, [1.0] * 6, 1) for i in range(50)], "pt bigint, coords array<double>, weight int")
+    celled = metric.cells(df, 0.5, leaf=8)
+    assert celled.select("cell").distinct().count() == 1 and celled.filter("own").count() == 50
+    assert {r.near for r in metric.neighbour_counts(celled, 0.5).collect()} == {50}
