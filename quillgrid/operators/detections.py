@@ -57,6 +57,10 @@ DETECTION_RESULT = T.StructType(
 )
 
 
+# The status and message of an image that cannot be read.
+UNREADABLE, UNREADABLE_MESSAGE = 400, "Could not decode the image bytes."
+
+
 def available_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MODELS.items()), "model string, description string")
 
@@ -216,7 +220,7 @@ def detect(
             for data in batch:
                 image = None if data is None else decode(bytes(data))
                 if image is None:
-                    rows.append((None, None, None, 400, "Could not decode the image bytes."))
+                    rows.append((None, None, None, UNREADABLE, UNREADABLE_MESSAGE))
                     continue
                 found, image_width, image_height = detector(image)
                 boxes = [

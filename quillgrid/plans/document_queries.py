@@ -38,20 +38,41 @@ placed as (
   coalesce(fx0, 0) fx0, coalesce(fy0, 0) fy0, coalesce(fx1, 0) fx1, coalesce(fy1, 0) fy1
  from fx_pages p left join frames f on f.doc_id = p.doc_id and f.page_number = p.page_number),
 cut as (
- select *, least(greatest(fy0, 0), height) cy0, greatest(least(fy1, height), 0) cy1,
-  least(greatest(fx0, 0), width) cx0, greatest(least(fx1, width), 0) cx1 from placed)"""
+ select *, """ + ", ".join(
+    f"greatest(0, least(f{c}, {size})) c{c}" for c, size in zip(("x0", "y0", "x1", "y1"), ("width", "height") * 2)
+) + " from placed)"
 
 PAGE_PROFILE_SQL = with_views("fx_pages fx_blocks", "").rstrip() + _PROFILE_SQL + """
 select doc_id, page_number, width, height, rotation, block_count > 0 has_text, block_count,
  fx0 frame_x0, fy0 frame_y0, fx1 frame_x1, fy1 frame_y1,
  0.0::double top_x0, 0.0::double top_y0, width top_x1, cy0 top_y1,
  0.0::double bottom_x0, cy1 bottom_y0, width bottom_x1, height bottom_y1,
- 0.0::double left_x0, cy0 left_y0, cx0 left_x1, greatest(cy1, cy0) left_y1,
- cx1 right_x0, cy0 right_y0, width right_x1, greatest(cy1, cy0) right_y1,
+ 0.0::double left_x0, cy0 left_y0, cx0 left_x1, cy1 left_y1,
+ cx1 right_x0, cy0 right_y0, width right_x1, cy1 right_y1,
  cy0 margin_top, height - cy1 margin_bottom, cx0 margin_left, width - cx1 margin_right
 from cut"""
 
 
+def raw_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """Margins that are negative where blocks overflow, on pages whose rectangle begins off the origin."""
+    pages = d.project_pages(v.pages(spark, folder)).withColumns(
+        {"origin_x": 12.0 * (F.col("doc_id") % 3), "origin_y": 40.0 * (F.col("page_number") % 2)}
+    )
+    metas = d.page_metadata(pages, v.blocks(spark, folder), clamp_nonnegative=False)
+    return metas.select(
+        "doc_id", "page_number",
+        *[F.col("margins")[side].alias(f"margin_{side}") for side in _SIDES],
+        F.col("inverse_rects.left.x0").alias("left_x0"),
+        F.col("inverse_rects.top.y1").alias("top_y1"),
+    )
+
+
+RAW_MARGINS_SQL = with_views("fx_pages fx_blocks", "").rstrip() + _PROFILE_SQL + """,
+moved as (select *, 12.0::double * (doc_id % 3) ox, 40.0::double * (page_number % 2) oy from placed)
+select doc_id, page_number, fy0 - oy margin_top, oy + height - fy1 margin_bottom, fx0 - ox margin_left, ox + width - fx1 margin_right,
+ ox left_x0, greatest(oy, least(fy0, oy + height)) top_y1 from moved"""
+
+
 def document_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Profiles of five pages, laid out as one row per page to compare them."""
     profiles = d.document_profiles(v.docmeta(spark, folder), v.pages(spark, folder), v.blocks(spark, folder), limit=5)
@@ -114,19 +135,23 @@ DOCUMENT_IDENTITY_SQL = """select doc_id, concat(source, '/', doc_id) source_pat
 def document_validation(spark: SparkSession, folder: str) -> DataFrame:
     named = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     pages = v.pages(spark, folder).withColumn("doc_id", named)
-    checked = d.validate_documents(v.catalogue(spark, folder), pages)
+    # Lines of under sixty characters count as page furniture here, so that some documents have no text.
+    blocks = v.blocks(spark, folder).filter(F.length("text") >= 60).withColumn("doc_id", named)
+    checked = d.validate_documents(v.catalogue(spark, folder), pages, blocks)
     return checked.select(
         "doc_id", "source_path", "page_count", F.col("error.code").alias("code"), F.col("error.message").alias("message")
     )
 
 
-DOCUMENT_VALIDATION_SQL = with_views("fx_pages fx_catalogue", """
+DOCUMENT_VALIDATION_SQL = with_views("fx_pages fx_catalogue fx_blocks", """
 select c.doc_id, source_path, page_count, code,
  case code when 'NO_PAGES' then concat('PDF ''', source_path, ''' has no pages.')
-  when 'NO_SIZE' then concat('PDF ''', source_path, ''' has a page with no width or height.') end message
+  when 'NO_SIZE' then concat('PDF ''', source_path, ''' has a page with no width or height.')
+  when 'NO_TEXT' then concat('PDF ''', source_path, ''' has a page with no text.') end message
 from (select c.doc_id, any_value(source_path) source_path, count(page_number) page_count,
   case when count(page_number) = 0 then 'NO_PAGES'
-   when bool_or(page_number = 0 and (width = 0 or height = 0)) then 'NO_SIZE' end code
+   when bool_or(page_number = 0 and (width = 0 or height = 0)) then 'NO_SIZE'
+   when c.doc_id not in (select concat('doc/', doc_id) from fx_blocks where length("text") >= 60) then 'NO_TEXT' end code
  from fx_catalogue c left join fx_pages p on c.doc_id = concat('doc/', p.doc_id) group by c.doc_id) c""")
 
 
@@ -205,7 +230,7 @@ def page_map(spark: SparkSession, folder: str) -> DataFrame:
         ]
 
     schema = "doc_id bigint, page_number int, area double, is_landscape boolean"
-    return map_pages(d.project_pages(v.pages(spark, folder)), facts, schema)
+    return map_pages(d.project_pages(v.pages(spark, folder)), facts, schema, partitions=6)
 
 
 PAGE_MAP_SQL = with_views(
@@ -249,6 +274,7 @@ from documents group by source"""
 
 QUERIES = {
     "page_profile": page_profile,
+    "raw_margins": raw_margins,
     "document_profile": document_profile,
     "document_identity": document_identity,
     "document_validation": document_validation,
@@ -264,6 +290,7 @@ QUERIES = {
 }
 ORACLES = {
     "page_profile": PAGE_PROFILE_SQL,
+    "raw_margins": RAW_MARGINS_SQL,
     "document_profile": DOCUMENT_PROFILE_SQL,
     "document_identity": DOCUMENT_IDENTITY_SQL,
     "document_validation": DOCUMENT_VALIDATION_SQL,

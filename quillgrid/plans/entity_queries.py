@@ -29,16 +29,18 @@ from (select *, min(updated_at) over (partition by task_id) created_at,
 
 
 def token_status(spark: SparkSession, folder: str) -> DataFrame:
-    return en.token_status(v.users(spark, folder), v.tokens(spark, folder), _as_of(), "dropbox")
+    # A token without a refresh token asks for a new consent.
+    tokens = v.tokens(spark, folder).withColumn("consent_lost", ~F.col("has_refresh_token"))
+    return en.token_status(v.users(spark, folder), tokens, _as_of(), "dropbox", flagged="consent_lost")
 
 
 TOKEN_STATUS_SQL = with_views("fx_users fx_tokens", f"""
 select u.id user_id, 'dropbox' provider, t.user_id is not null has_token,
- t.user_id is not null and coalesce(expires_at >= timestamp '{AS_OF}', true) connected,
+ t.user_id is not null and has_refresh_token and coalesce(expires_at >= timestamp '{AS_OF}', true) connected,
  coalesce(has_refresh_token, false) has_refresh_token, expires_at,
  coalesce(expires_at <= timestamp '{AS_OF}', false) is_expired,
  coalesce(expires_at < timestamp '{AS_OF}' + interval '24' hour, false) expires_soon,
- case when t.user_id is null then 'disconnected' when expires_at < timestamp '{AS_OF}' then 'needs_reauth' else 'connected' end status
+ case when t.user_id is null then 'disconnected' when not has_refresh_token or expires_at < timestamp '{AS_OF}' then 'needs_reauth' else 'connected' end status
 from fx_users u left join fx_tokens t on t.user_id = u.id and t.provider = 'dropbox'""")
 
 
