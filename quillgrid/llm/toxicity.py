@@ -32,9 +32,8 @@ PRIOR = 20.0
 MARGIN = 1.5
 # Added to a text's worth, so that texts without a segment have a logarithm.
 FLOOR = 1e-3
-# Bounds of what is learned: labelled texts, and words and prefixes that get a score of their own.
+# Bound of what is learned from: labelled texts. Words and prefixes that get a score of their own are some of theirs.
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 20_000
 _CACHED = 100_000
 _EDGES = " \t\n.,;:!?\"'()[]{}<>*%$&#|-_/\\"
 
@@ -63,24 +62,34 @@ class _Scores(dict):
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """Score, start and end of all maximal-scoring segments, in one pass (Ruzzo and Tompa)."""
-    stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
+    """Score, start and end of all maximal-scoring segments, in one pass (Ruzzo and Tompa).
+
+    Every candidate knows the nearest one before it with a smaller sum on its left, so the search for such a one
+    skips all between. Once the running sum is below all left sums, nothing can join the candidates any more, and
+    they are set aside.
+    """
+    done: list[tuple[float, int, int]] = []
+    open_: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, start, end, place of the smaller one
     total = 0.0
     for i, s in enumerate(scores):
-        before, total = total, total + s
+        left, total = total, total + s
         if s <= 0:
             continue
-        left, start = before, i
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= left:
-                j -= 1
-            if j < 0 or stack[j][1] >= total:
-                break
-            left, start = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((left, total, start, i + 1))
-    return [(after - before, start, end) for before, after, start, end in stack]
+        start = i
+        while True:
+            j = len(open_) - 1
+            while j >= 0 and open_[j][0] >= left:
+                j = open_[j][4]
+            if j < 0:
+                done += [(after - before, a, b) for before, after, a, b, _ in open_]
+                open_.clear()
+            elif open_[j][1] < total:
+                left, start = open_[j][0], open_[j][2]
+                del open_[j:]
+                continue
+            open_.append((left, total, start, i + 1, j))
+            break
+    return done + [(after - before, a, b) for before, after, a, b, _ in open_]
 
 
 def _softplus(x: float) -> float:
@@ -157,13 +166,12 @@ def _worths(texts: DataFrame, model: Model, keep: str, kind: str) -> DataFrame:
     return texts.select(keep, "text").mapInArrow(run, f"{keep} {kind}, worth double")
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_entries: int = MAX_ENTRIES) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from at most ``max_labelled`` texts with a training label.
 
     Held-out rows are never read. Without labels of both kinds the model knows
     no toxic word and finds every text alike. Words and prefixes whose score is
-    near that of their shorter prefix are left out, and of each length at most
-    ``max_entries``, the ones farthest from it, are collected.
+    near that of their shorter prefix inherit it; all others of the sample are collected.
     """
     texts = written(sampled_texts(documents, labels, "toxic", max_labelled), "toxicity-sample")
 
@@ -197,8 +205,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         return found.withColumn("gap", F.abs(F.col("score") - log_odds(F.col("prior")))).withColumnRenamed(name, "key")
 
     def kept(rows: DataFrame) -> dict[str, float]:
-        top = rows.filter("gap > 0.2").orderBy(F.desc("gap"), "key").limit(max_entries)
-        return {r["key"]: r["score"] for r in top.select("key", "score").collect()}  # at most max_entries
+        # Bounded by the distinct words of the labelled sample.
+        return {r["key"]: r["score"] for r in rows.filter("gap > 0.2").select("key", "score").collect()}
 
     model, parents = Model(), None
     level = words.withColumn("prior", F.lit(share))
