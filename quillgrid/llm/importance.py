@@ -30,6 +30,7 @@ MAX_LABELLED = 20_000
 # Log weight below zero by which a text may miss being likelier under the target and still count towards k.
 TOLERANCE = 4.0
 _CACHED = 100_000
+_LONGEST = 32
 _DEALT = 20_000
 
 
@@ -41,9 +42,15 @@ def shape(word: str) -> str:
         if kind != last:
             out.append(kind)
             last = kind
-        if len(out) == 6:
-            break
-    return "".join(out) + str(min(len(word) // 8, 4))
+    return "".join(out) + str(len(word) // 8)
+
+
+def tokens(text: str) -> list[str]:
+    """White-space words; longer ones than ``_LONGEST``, as in scripts without spaces, in pieces of that length."""
+    words = text.split()
+    if max(map(len, words), default=0) <= _LONGEST:
+        return words
+    return [w[at : at + _LONGEST] for w in words for at in range(0, len(w), _LONGEST)]
 
 
 class _Shapes(dict):
@@ -63,7 +70,7 @@ def features(texts: list[str], shapes: _Shapes) -> tuple[np.ndarray, np.ndarray]
     parts, sizes = [], []
     number = shapes.__getitem__
     for text in texts:
-        words = text.split()
+        words = tokens(text)
         n = len(words)
         ids = np.fromiter(map(number, words), np.uint64, n)
         again = np.zeros(n, np.uint64)
