@@ -7,11 +7,12 @@ from quillgrid.plans import (
     document_queries,
     entity_queries,
     file_queries,
+    pattern_queries,
     stream_queries,
     vector_queries,
 )
 
-_MODULES = (document_queries, box_queries, file_queries, entity_queries, vector_queries, stream_queries)
+_MODULES = (document_queries, box_queries, file_queries, entity_queries, vector_queries, pattern_queries, stream_queries)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
