@@ -1,10 +1,10 @@
 """Rows and columns of tables, from the places of their text blocks.
 
 Along an axis, every place is covered by some of a table's blocks. Bands of
-places that many blocks cover are its rows or columns, and the gaps between
+places that much is covered at are its rows or columns, and the gaps between
 them separate these. A block that reaches over several columns covers the gaps
-between them, but alone; so a place counts as a gap as long as few blocks cover
-it, compared with the most that cover any place.
+between them, but alone; so a place counts as a gap as long as the blocks there
+are low (or, across rows, narrow) altogether, compared with the fullest place.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Share of the greatest cover up to which a place is a gap.
+# Share of the fullest place's cover up to which a place is a gap.
 GAP_SHARE = 0.34
 
 
-def bands(blocks: DataFrame, keys: Sequence[str], low: str, high: str, gap_share: float = GAP_SHARE) -> DataFrame:
-    """``keys, bands``: for each table its bands between gaps along an axis, an array of ``start, end`` in order.
+def bands(blocks: DataFrame, keys: Sequence[str], axis: str, gap_share: float = GAP_SHARE) -> DataFrame:
+    """``keys, bands``: for each table its bands between gaps along ``x`` or ``y``, an array of ``start, end`` in order.
 
     Ends are swept in order; where one block ends and another begins, there is no gap. Flat blocks cover nothing.
     """
-    solid = blocks.filter(F.col(low) < F.col(high))
-    ends = F.array(F.struct(F.col(low).alias("at"), F.lit(1).alias("step")), F.struct(F.col(high).alias("at"), F.lit(-1).alias("step")))
+    low, high, extent = F.col(f"{axis}0"), F.col(f"{axis}1"), F.col("y1") - F.col("y0") if axis == "x" else F.col("x1") - F.col("x0")
+    solid = blocks.filter((low < high) & (extent > 0))
+    ends = F.array(F.struct(low.alias("at"), extent.alias("step")), F.struct(high.alias("at"), (-extent).alias("step")))
     # All steps of one place are taken together.
     places = solid.select(*keys, F.explode(ends).alias("end")).groupBy(*keys, F.col("end.at").alias("at")).agg(F.sum("end.step").alias("step"))
     sweep = Window.partitionBy(*keys).orderBy("at")
@@ -52,8 +53,8 @@ def extract_cells(blocks: DataFrame, keys: Sequence[str], gap_share: float = GAP
     Numbers begin at 0. A block within a gap belongs to the next row or column. A
     table whose blocks are all flat has no rows or columns; its blocks have NULL cells.
     """
-    rows = bands(blocks, keys, "y0", "y1", gap_share).withColumnRenamed("bands", "__rows")
-    columns = bands(blocks, keys, "x0", "x1", gap_share).withColumnRenamed("bands", "__columns")
+    rows = bands(blocks, keys, "y", gap_share).withColumnRenamed("bands", "__rows")
+    columns = bands(blocks, keys, "x", gap_share).withColumnRenamed("bands", "__columns")
     placed = blocks.join(rows, list(keys), "left").join(columns, list(keys), "left")
     out = {}
     for name, low, high in (("row", "y0", "y1"), ("col", "x0", "x1")):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import files as fn
+from quillgrid.operators import grams as gr
 from quillgrid.operators import listing as ls
 from quillgrid.operators import sync as sy
 from quillgrid.operators.checks import class_overview, resolve_uris
@@ -13,7 +14,7 @@ from quillgrid.operators.entities import fold_to_map
 from quillgrid.operators.numbering import slice_rows, with_position
 from quillgrid.plans import views as v
 from quillgrid.plans.views import with_views
-from quillgrid.session import materialise
+from quillgrid.session import materialise, scratch_path
 
 ROOT, PREFIX = "/Docs", "in/"
 
@@ -285,6 +286,42 @@ select path, case when regexp_matches(lower(path), '^/urgent/.*\\.pdf$') then 'u
  when regexp_matches(path, '\\.(xlsx|docx)$') then 'office' when regexp_matches(path, '^/(high|urgent)/') then 'priority'
  else 'other' end "label" from fx_files""")
 
+
+def rule_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of all paths by a rule per customer, which claims ten orders' reports, and three general rules."""
+    customers = v.table(spark, folder, "customer")
+    own = customers.select(
+        F.col("c_custkey").alias("rule_id"),
+        F.col("c_custkey").alias("priority"),
+        F.concat(F.lit("/f"), F.col("c_custkey").cast("string"), F.lit("\\d\\.pdf$")).alias("pattern"),
+        F.lower("c_mktsegment").alias("label"),
+    )
+    general = gr.frame_of(spark, [(-1, 10**9, "(?i)^/URGENT/s%20[FO]", "urgent"), (-2, 10**9 + 1, "\\.p.g$", "picture"), (-3, 0, "(/f7777)\\d*.xlsx", "sevens")])
+    return gr.label_by_rules(v.files(spark, folder).select("path"), "path", own.unionByName(general), "other")
+
+
+RULE_LABELS_SQL = with_views("fx_files", """
+select path, case when regexp_matches(path, '/f7777[0-9]*.xlsx') then 'sevens' when c_custkey is not null then lower(c_mktsegment)
+  when regexp_matches(path, '^/urgent/s%20[FO]') then 'urgent' when regexp_matches(path, '\\.p.g$') then 'picture' else 'other' end "label"
+from fx_files left join customer on c_custkey = try_cast(regexp_extract(path, '/f([0-9]+)[0-9]\\.pdf$', 1) as bigint)""")
+
+
+def name_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that hold the number of an order of value, for all such orders at once, through stored grams."""
+    files = v.files(spark, folder).select("id", "name")
+    path = scratch_path(spark, "name-grams")
+    gr.write_grams(files, path)
+    rich = v.table(spark, folder, "orders").filter("o_totalprice > 400000 and o_orderkey > 99")
+    patterns = rich.select(F.col("o_orderkey").alias("pattern_id"), F.concat(F.lit("F"), F.col("o_orderkey").cast("string")).alias("pattern"))
+    short = spark.createDataFrame([(-1, "F1")], patterns.schema)
+    return gr.search_grams(spark, path, files, patterns.unionByName(short))
+
+
+NAME_SEARCH_SQL = with_views("fx_files", """
+select o_orderkey pattern_id, id, name from orders join fx_files on starts_with(name, concat('f', o_orderkey))
+where o_totalprice > 400000 and o_orderkey > 99
+union all select -1, id, name from fx_files where contains(lower(name), 'f1')""")
+
 QUERIES = {
     "pdf_listing": pdf_listing,
     "sync_plan": sync_plan,
@@ -303,6 +340,8 @@ QUERIES = {
     "library_totals": library_totals,
     "facet_counts": facet_counts,
     "auto_label": auto_label,
+    "rule_labels": rule_labels,
+    "name_search": name_search,
 }
 ORACLES = {
     "pdf_listing": PDF_LISTING_SQL,
@@ -322,4 +361,6 @@ ORACLES = {
     "library_totals": LIBRARY_TOTALS_SQL,
     "facet_counts": FACET_COUNTS_SQL,
     "auto_label": AUTO_LABEL_SQL,
+    "rule_labels": RULE_LABELS_SQL,
+    "name_search": NAME_SEARCH_SQL,
 }

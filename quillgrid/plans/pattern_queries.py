@@ -83,10 +83,10 @@ blocks as materialized (
  union all select l_orderkey, 100.0, y + 14, 460.0, y + 24, 'returned' from items where l_returnflag = 'R')"""
 
 
-def _bands_sql(name: str, low: str, high: str) -> str:
+def _bands_sql(name: str, low: str, high: str, extent: str) -> str:
     return f""",
-{name}_places as (select l_orderkey, pos, sum(step) step from (select l_orderkey, {low}::double pos, 1 step from blocks
-  union all select l_orderkey, {high}::double, -1 from blocks) group by l_orderkey, pos),
+{name}_places as (select l_orderkey, pos, sum(step) step from (select l_orderkey, {low}::double pos, {extent} step from blocks
+  union all select l_orderkey, {high}::double, -({extent}) from blocks) group by l_orderkey, pos),
 {name}_cover as (select *, sum(step) over w cover, lead(pos) over w until from {name}_places window w as (partition by l_orderkey order by pos)),
 {name}_dense as (select *, cover > {tables.GAP_SHARE} * max(cover) over (partition by l_orderkey) dense from {name}_cover),
 {name}_begin as (select *, dense and not coalesce(lag(dense) over (partition by l_orderkey order by pos), false) begins from {name}_dense),
@@ -95,7 +95,7 @@ def _bands_sql(name: str, low: str, high: str) -> str:
 {name}_lists as materialized (select l_orderkey, list({{'lo': lo, 'hi': hi}}) bands from {name}_bands group by l_orderkey)"""
 
 
-STATEMENT_CELLS_SQL = _BLOCKS_SQL + _bands_sql("r", "y0", "y1") + _bands_sql("c", "x0", "x1") + """,
+STATEMENT_CELLS_SQL = _BLOCKS_SQL + _bands_sql("r", "y0", "y1", "x1 - x0") + _bands_sql("c", "x0", "x1", "y1 - y0") + """,
 placed as (select b.*, len(r.bands) rn, len(c.bands) cn,
  len(list_filter(r.bands, lambda k: k.hi <= y0)) r0, len(list_filter(r.bands, lambda k: k.lo < y1)) - 1 r1,
  len(list_filter(c.bands, lambda k: k.hi <= x0)) c0, len(list_filter(c.bands, lambda k: k.lo < x1)) - 1 c1
