@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgrid.functions import geometry as g
 from quillgrid.operators.boxes import point_in_box_join
@@ -197,40 +199,104 @@ def table_members(blocks: DataFrame, labelled: DataFrame, zoom: float = 1.0, num
 
 # --- inference hooks -------------------------------------------------------
 
-Detector = Callable[[object], tuple[Sequence[Sequence[float]], int, int]]
+# What a detector says of an image: rows of x1, y1, x2, y2, conf, cls, then the image's width and height.
+Found = tuple[Sequence[Sequence[float]], int, int]
+# A batch holds at most so many images, and images of so many bytes.
+BATCH_IMAGES = 32
+BATCH_BYTES = 64 << 20
+# Status of an image on which the model fails.
+FAILED = 500
 
 
-def detect(
+def answered(model: Callable[[list], list], images: list) -> list:
+    """The model's result of each image; an exception where it fails on an image alone.
+
+    A batch that fails is halved until the failing images are found, so the others keep their results.
+    """
+    try:
+        found = list(model(images))
+        if len(found) != len(images):
+            raise ValueError(f"the model returned {len(found)} results for {len(images)} images")
+        return found
+    except Exception as e:  # reported per image
+        if len(images) == 1:
+            return [e]
+        half = len(images) // 2
+        return answered(model, images[:half]) + answered(model, images[half:])
+
+
+def detect_batches(
     images: DataFrame,
     content: str,
     decode: Callable[[bytes], object | None],
-    make_detector: Callable[[], Detector],
+    make_model: Callable[[], Callable[[list], list[Found]]],
+    *,
+    batch_images: int = BATCH_IMAGES,
+    batch_bytes: int = BATCH_BYTES,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
-    """Run a user's detector on a binary column; adds the fields of ``DETECTION_RESULT``.
-
-    ``make_detector`` runs once per Python task and returns a function from a
-    decoded image to ``(rows of x1,y1,x2,y2,conf,cls, width, height)``. An image
-    that ``decode`` cannot read gives status 400 and does not fail the job.
+    """Run a user's model on a binary column, many images per call; adds the fields of ``DETECTION_RESULT``.
+
+    ``make_model`` runs once per Python task and returns a function from a list
+    of decoded images to one result each. A call gets at most ``batch_images``
+    images and, unless one alone is larger, ``batch_bytes`` bytes. An image that
+    ``decode`` cannot read gives status 400, and one that the model fails on status
+    500; neither fails the job. ``profile`` asks for the resources, such as
+    GPUs, of the stage that runs the model.
     """
+    fields = to_arrow_schema(DETECTION_RESULT)
+    names = [*images.columns, *DETECTION_RESULT.names]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        detector = make_detector()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make_model()
         for batch in batches:
-            rows = []
-            for data in batch:
-                image = None if data is None else decode(bytes(data))
+            rows: list[tuple] = [(None, None, None, UNREADABLE, UNREADABLE_MESSAGE)] * batch.num_rows
+            held: list[tuple[int, object]] = []
+            size = 0
+
+            def flush() -> None:
+                if not held:
+                    return
+                for (i, _), found in zip(held, answered(model, [image for _, image in held])):
+                    if isinstance(found, Exception):
+                        rows[i] = (None, None, None, FAILED, f"{type(found).__name__}: {found}")
+                        continue
+                    boxes, image_width, image_height = found
+                    kept = [dict(zip(DETECTION.names, (*map(float, b[:5]), int(b[5])), strict=True)) for b in boxes]
+                    rows[i] = (kept, image_width, image_height, 200, None)
+                held.clear()
+
+            column = batch.column(batch.schema.get_field_index(content))
+            for i in range(batch.num_rows):
+                data = column[i].as_py()
+                image = None if data is None else decode(data)
                 if image is None:
-                    rows.append((None, None, None, UNREADABLE, UNREADABLE_MESSAGE))
                     continue
-                found, image_width, image_height = detector(image)
-                boxes = [
-                    dict(zip(DETECTION.names, (*map(float, row[:5]), int(row[5])), strict=True)) for row in found
-                ]
-                rows.append((boxes, image_width, image_height, 200, None))
-            yield pd.DataFrame(rows, columns=DETECTION_RESULT.names, dtype=object)
-
-    result = F.pandas_udf(run, DETECTION_RESULT)
-    return images.withColumn("__result", result(F.col(content))).select(*images.columns, "__result.*")
+                if held and (len(held) >= batch_images or size + len(data) > batch_bytes):
+                    flush()
+                    size = 0
+                held.append((i, image))
+                size += len(data)
+            flush()
+            added = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+    return images.mapInArrow(run, T.StructType([*images.schema.fields, *DETECTION_RESULT.fields]), profile=profile)
+
+
+def detect(
+    images: DataFrame,
+    content: str,
+    decode: Callable[[bytes], object | None],
+    make_detector: Callable[[], Callable[[object], Found]],
+) -> DataFrame:
+    """As ``detect_batches``, with a detector that takes one image at a time."""
+
+    def make_model() -> Callable[[list], list[Found]]:
+        detector = make_detector()
+        return lambda batch: [detector(image) for image in batch]
+
+    return detect_batches(images, content, decode, make_model)
 
 
 def explode_detections(images: DataFrame) -> DataFrame:

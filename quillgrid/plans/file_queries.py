@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from quillgrid.operators.numbering import slice_rows, with_position
 from quillgrid.plans import views as v
 from quillgrid.plans.views import with_views
 from quillgrid.session import materialise, scratch_path
+from quillgrid.sources.connector import register_connector
 
 ROOT, PREFIX = "/Docs", "in/"
 
@@ -322,8 +327,56 @@ select o_orderkey pattern_id, id, name from orders join fx_files on starts_with(
 where o_totalprice > 400000 and o_orderkey > 99
 union all select -1, id, name from fx_files where contains(lower(name), 'f1')""")
 
+
+_LISTED = "path_display string, name string, is_file boolean, rev string, size bigint"
+
+
+class StoredPager:
+    """A stand-in for a user's pager: roots are folders of JSON lines, a page is some lines of a file."""
+
+    def __init__(self, folder: str, lines: int = 500):
+        self._folder, self._lines = folder.removeprefix("file://").removeprefix("file:"), lines
+
+    def _files(self, root: str) -> list[str]:
+        folder = os.path.join(self._folder, f"root={root}")
+        return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".json"))
+
+    def roots(self) -> list[str]:
+        return sorted(f.removeprefix("root=") for f in os.listdir(self._folder) if f.startswith("root="))
+
+    def page(self, root: str, cursor: str | None) -> tuple[list[tuple], str, bool]:
+        files = self._files(root)
+        file, line = map(int, (cursor or "0:0").split(":"))
+        if file >= len(files):
+            return [], f"{file}:0", False
+        with open(files[file]) as f:
+            found = list(itertools.islice(f, line, line + self._lines))
+        rows = [tuple(json.loads(x).get(c.split()[0]) for c in _LISTED.split(", ")) for x in found]
+        whole = len(found) == self._lines
+        after = f"{file}:{line + self._lines}" if whole else f"{file + 1}:0"
+        return rows, after, whole or file + 1 < len(files)
+
+    def latest(self, root: str) -> str:
+        return f"{len(self._files(root))}:0"
+
+
+def connector_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of three of the four roots of a store, listed page by page through the connector."""
+    listing = v.source_listing(spark, folder)
+    root = F.concat(F.lit("shelf"), (F.length("path_display") % 4).cast("string"))
+    path = scratch_path(spark, "store")
+    listing.select(root.alias("root"), *[c.split()[0] for c in _LISTED.split(", ")]).write.partitionBy("root").json(path)
+    register_connector(spark, "stored_pages", _LISTED, lambda: StoredPager(path))
+    return spark.read.format("stored_pages").load().filter("is_file and root in ('shelf0', 'shelf1', 'shelf2')")
+
+
+CONNECTOR_LISTING_SQL = with_views("fx_src_listing", """
+select concat('shelf', length(path_display) % 4) root, path_display, name, is_file, rev, size from fx_src_listing
+where is_file and length(path_display) % 4 <> 3""")
+
 QUERIES = {
     "pdf_listing": pdf_listing,
+    "connector_listing": connector_listing,
     "sync_plan": sync_plan,
     "sync_plan_forced": sync_plan_forced,
     "sync_summary": sync_summary,
@@ -345,6 +398,7 @@ QUERIES = {
 }
 ORACLES = {
     "pdf_listing": PDF_LISTING_SQL,
+    "connector_listing": CONNECTOR_LISTING_SQL,
     "sync_plan": SYNC_PLAN_SQL,
     "sync_plan_forced": SYNC_PLAN_FORCED_SQL,
     "sync_summary": SYNC_SUMMARY_SQL,

@@ -76,3 +76,38 @@ def test_bounds(spark):
     rows = [(1, 0, 1, 0.0, 0.0, 5.0, 5.0, 0.5, 8), (1, 0, 2, 0.0, 0.0, 6.0, 5.0, 0.5, 8), (1, 0, 3, 2.0, 0.0, 2.0, 5.0, 0.5, 8)]
     labelled = det.label_detections(spark.createDataFrame(rows, LONG))
     assert sorted(r.det_no for r in det.out_of_bounds(labelled, F.lit(5.0), F.lit(5.0)).collect()) == [2, 3]
+
+
+def test_batches_and_failing_images(spark):
+    sizes = spark.sparkContext.accumulator(0)
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def model(images):
+            calls.add(1)
+            sizes.add(len(images))
+            if any(image == b"bad" for image in images):
+                raise ValueError("no tensor")
+            return [([], len(image), 1) for image in images]
+
+        return model
+
+    rows = [(i, bytearray(b"bad" if i == 37 else b"x" * (i % 5 + 1)), "kept") for i in range(100)] + [(100, None, "kept")]
+    images = spark.createDataFrame(rows, "id int, content binary, note string").coalesce(1)
+    out = det.detect_batches(images, "content", lambda d: d, make, batch_images=25).collect()
+    assert {r.id: (r.status, r.image_width) for r in out} == {
+        **{i: (200, i % 5 + 1) for i in range(100) if i != 37}, 37: (500, None), 100: (400, None)
+    }
+    assert {r.error for r in out if r.status == 500} == {"ValueError: no tensor"} and {r.note for r in out} == {"kept"}
+    # Four calls for a hundred images; the failing one is found by halving its batch.
+    assert calls.value <= 4 + 2 * 5 and sizes.value < 200
+    large = spark.createDataFrame([(i, bytearray(b"x" * 40)) for i in range(10)], "id int, content binary").coalesce(1)
+    before = calls.value
+    assert det.detect_batches(large, "content", lambda d: d, make, batch_bytes=100).filter("status = 200").count() == 10
+    assert calls.value - before == 5
+
+
+def test_a_model_must_answer_every_image(spark):
+    images = spark.createDataFrame([(1, bytearray(b"a"))], "id int, content binary")
+    out = det.detect_batches(images, "content", lambda d: d, lambda: lambda batch: []).collect()
+    assert [(r.status, r.error) for r in out] == [(500, "ValueError: the model returned 0 results for 1 images")]
