@@ -10,7 +10,7 @@ from quillgrid.plans.document_queries import PAGE_MAP_SQL
 from quillgrid.plans.entity_queries import TASK_STATE_SQL
 from quillgrid.plans.file_queries import PREFIX, ROOT, SYNC_PLAN_SQL
 from quillgrid.session import scratch_path
-from quillgrid.streaming import jobs
+from quillgrid.streaming import expiry, jobs
 
 
 def _arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,33 @@ def stream_task_state(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.read_task_states(spark, f"{out}/states")
 
 
+KEEP_DAYS, DELAY_HOURS = 10, 1
+
+
+def stream_task_expiry(spark: SparkSession, folder: str) -> DataFrame:
+    """Task states in a store that forgets tasks after ten silent days; read through the compacted output."""
+    # The state of a running query stays with the store it began with, so this only affects new ones.
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", expiry.ROCKSDB)
+    out = scratch_path(spark, "stream-expiry")
+    try:
+        events = v.task_events(_arriving(spark, folder, "events"))
+        expiry.expiring_task_stream(events, f"{out}/states", f"{out}/progress", f"{KEEP_DAYS} days", f"{DELAY_HOURS} hours").awaitTermination()
+    finally:
+        if store is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    expiry.compact(spark, f"{out}/states")
+    states = expiry.read_latest(spark, f"{out}/states")
+    return states.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
+STREAM_TASK_EXPIRY_SQL = TASK_STATE_SQL.replace("select task_id, created_at", f"""select
+ updated_at + interval '{KEEP_DAYS}' day <= (select max(updated_at) from fx_task_events) - interval '{DELAY_HOURS}' hour expired,
+ task_id, created_at""", 1)
+
+
 def stream_tee(spark: SparkSession, folder: str) -> DataFrame:
     """One stream of pages feeding two branches, all pages and landscape pages, counted per document."""
     out = scratch_path(spark, "stream-tee")
@@ -75,12 +102,14 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "stream_sync": stream_sync,
     "stream_task_state": stream_task_state,
+    "stream_task_expiry": stream_task_expiry,
     "stream_tee": stream_tee,
     "stream_pages": stream_pages,
 }
 ORACLES = {
     "stream_sync": SYNC_PLAN_SQL,
     "stream_task_state": TASK_STATE_SQL,
+    "stream_task_expiry": STREAM_TASK_EXPIRY_SQL,
     "stream_tee": STREAM_TEE_SQL,
     "stream_pages": PAGE_MAP_SQL,
 }

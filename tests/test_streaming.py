@@ -76,3 +76,31 @@ def test_folder_sink_replaces_a_replayed_batch(spark, tmp_path):
     sink(spark.range(5), 0)
     sink(spark.range(5), 0)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_silent_tasks_leave_the_store(spark, tmp_path):
+    from quillgrid.streaming import expiry
+
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "task_id string, kind string, status string, updated_at timestamp_ntz, event_id bigint"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, expiry.ROCKSDB)
+    held = []
+    try:
+        for day in range(0, 8, 2):
+            rows = [(f"t{day}-{i}", "k", "queued", T0 + dt.timedelta(days=day, minutes=i), 10 * i) for i in range(20)]
+            rows += [(f"t{day}-{i}", None, "done", T0 + dt.timedelta(days=day, minutes=30), 10 * i + 1) for i in range(10)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            arriving = jobs.stream_files(spark, source, spark.createDataFrame([], schema).schema)
+            query = expiry.expiring_task_stream(arriving, out, progress, "1 day", "1 hour")
+            query.awaitTermination(240)
+            held.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+            if day == 4:
+                assert expiry.compact(spark, out) >= 0
+    finally:
+        spark.conf.unset(name)
+    got = {r.task_id: (r.kind, r.status, r.expired) for r in expiry.read_latest(spark, out).collect()}
+    want = {f"t{day}-{i}": ("k", "done" if i < 10 else "queued", day < 6) for day in range(0, 8, 2) for i in range(20)}
+    assert got == want
+    # The store holds the tasks of the last day only, however many there were before.
+    assert max(held[1:]) <= held[0]
