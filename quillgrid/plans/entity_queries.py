@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import tokens as tk
 from quillgrid.operators import checks as ck
 from quillgrid.operators import entities as en
+from quillgrid.operators import requests as rq
 from quillgrid.plans import views as v
 from quillgrid.plans.views import AS_OF, with_views
 
@@ -147,6 +148,49 @@ GRAPH_MATCH_SQL = """select c_custkey, o_orderkey, l_linenumber, s_suppkey from
 join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
 join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey"""
 
+def _email_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """For each partly filled order its customer asks for the email of the customer of a nearby number, in order of the orders."""
+    users = v.users(spark, folder)
+    orders = v.table(spark, folder, "orders").filter("o_orderstatus = 'P'")
+    asked = orders.selectExpr("o_orderkey turn", "o_custkey id", "o_custkey + o_orderkey % 5 - 2 other")
+    emails = users.select(F.col("id").alias("other"), "email")
+    return asked.join(emails, "other").select("turn", "id", "email")
+
+
+def email_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that free and claim emails within one batch, decided in their order."""
+    decided = rq.decide_claims(v.users(spark, folder), _email_requests(spark, folder))
+    return decided.select("turn", "accepted")
+
+
+_ROUNDS = 40
+_EMAIL_REQUESTS_CTE = f""",
+req as materialized (select o_orderkey turn, o_custkey id, email from orders join fx_users u on u.id = o_custkey + o_orderkey % 5 - 2 where o_orderstatus = 'P'),
+r(k, turn, id, email, ok) as (
+ select 0, turn, id, email, true from req
+ union all
+ select any_value(a.k) + 1, a.turn, any_value(a.id), any_value(a.email),
+  coalesce(arg_max(e.usr, e.turn) filter (e.turn is not null), -1) in (-1, any_value(a.id))
+ from r a left join (
+  select email, turn, id usr from (select turn, id, email from r where ok union all select -1, id, email from fx_users)
+  union all
+  select old, turn, -1 from (select turn, email, lag(email) over (partition by id order by turn) old
+   from (select turn, id, email from r where ok union all select -1, id, email from fx_users)) where old <> email
+ ) e on e.email = a.email and e.turn < a.turn
+ where a.k < {_ROUNDS} group by a.turn)"""
+EMAIL_REQUESTS_SQL = with_views("fx_users", "", recursive=True).rstrip() + _EMAIL_REQUESTS_CTE + f"""
+select turn, ok accepted from r where k = {_ROUNDS}"""
+
+
+def ordered_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """Users after a batch of requests, several per user, some of them by superusers."""
+    patches = _email_requests(spark, folder).selectExpr(
+        "turn", "id", "case when turn % 4 > 0 then email end email", "case when turn % 3 = 0 then concat('Name ', turn) end full_name",
+        "turn % 2 = 0 is_active", "turn % 7 = 0 actor_is_superuser", "case when turn % 11 = 0 then -1 else id end actor_id",
+    )
+    return rq.apply_requests(v.users(spark, folder), patches)
+
+
 QUERIES = {
     "task_state": task_state,
     "token_status": token_status,
@@ -154,6 +198,8 @@ QUERIES = {
     "user_defaults": user_defaults,
     "user_patch": user_patch,
     "email_conflicts": email_conflicts,
+    "email_requests": email_requests,
+    "ordered_patches": ordered_patches,
     "user_insert": user_insert,
     "token_upsert": token_upsert,
     "token_delete": token_delete,
@@ -167,6 +213,7 @@ ORACLES = {
     "user_defaults": USER_DEFAULTS_SQL,
     "user_patch": USER_PATCH_SQL,
     "email_conflicts": EMAIL_CONFLICTS_SQL,
+    "email_requests": EMAIL_REQUESTS_SQL,
     "user_insert": USER_INSERT_SQL,
     "token_upsert": TOKEN_UPSERT_SQL,
     "token_delete": TOKEN_DELETE_SQL,
