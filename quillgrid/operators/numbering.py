@@ -4,7 +4,8 @@ A plain ``row_number`` window puts a whole group into one task. Here a bounded
 sample of the group and order columns fixes cut points first, and the segment of
 a row follows from comparing it with them. So a large group is spread over many
 segments, rows are shuffled once, and at most two summary rows per segment turn
-local numbers into positions within the whole group.
+local numbers into positions within the whole group. Where a count of the groups
+shows that all are short, a plain window gives the same numbers.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql.types import StructType
 _SEGMENT = "__segment"
 # Sampled rows per segment that fix the cut points.
 SAMPLED_PER_SEGMENT = 40
-# Spark's own limit for cutting groups before a row_number window (windowGroupLimitThreshold).
+# Groups of at most so many rows are numbered by a plain window, whatever the size of the table.
+SHORT_GROUP = 20_000
+# Spark's own limit for cutting groups before a row_number window (windowGroupLimitThreshold), and the parts that a
+# group is cut in first.
 _SHORT = 1000
+_PARTS = 32
 
 # A column to order by, ascending, or with True for descending. NULL is the smallest value.
 Key = Column | tuple[Column, bool]
@@ -42,13 +47,20 @@ def _same(left: str, names: Sequence[str], right: str) -> Column:
     return reduce(and_, pairs)
 
 
-def _cut_points(df: DataFrame, sort: Sequence[Key], segments: int) -> DataFrame:
+def _group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, rows or 0
+
+
+def _cut_points(df: DataFrame, sort: Sequence[Key], segments: int, rows: int) -> DataFrame:
     """Rows at which segments begin, in order: at most ``segments - 1``, from a sample of a bounded size.
 
     The result is a local table with the columns ``c0, c1, ...``.
     """
     narrow = df.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(map(_pair, sort))])
-    rows, wanted = narrow.count(), SAMPLED_PER_SEGMENT * segments
+    wanted = SAMPLED_PER_SEGMENT * segments
     sample = narrow.sample(wanted / rows, seed=1) if rows > wanted else narrow
     downs = [down for _, down in map(_pair, sort)]
     ordered = sample.orderBy(*sort_columns([(F.col(f"c{i}"), down) for i, down in enumerate(downs)])).collect()
@@ -114,6 +126,20 @@ def _spanning(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], sort: Seque
     return spans.withColumns(added).drop("__rows", "__first", "__last")
 
 
+def _plain(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Key], position: str, total: str | None, neighbour: str | None
+) -> DataFrame:
+    """``with_position`` of short groups, by a window over whole groups."""
+    group = Window.partitionBy(*keys)
+    ordered = group.orderBy(*sort_columns(order))
+    added = {position: F.row_number().over(ordered).cast("bigint")}
+    if total:
+        added[total] = F.count(F.lit(1)).over(group)
+    if neighbour:
+        added |= {f"previous_{neighbour}": F.lag(neighbour).over(ordered), f"next_{neighbour}": F.lead(neighbour).over(ordered)}
+    return df.select(*df.columns, *[c.alias(name) for name, c in added.items()])
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -135,9 +161,12 @@ def with_position(
     deterministic. The cut points are taken when this function is called.
     """
     spark = df.sparkSession
+    largest, count = _group_sizes(df, keys)
+    if largest <= SHORT_GROUP:
+        return _plain(df, keys, order, position, total, neighbour)
     segments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = [*[F.col(k) for k in keys], *order]
-    cuts = _cut_points(df, keyed, segments)
+    cuts = _cut_points(df, keyed, segments, count)
     rows = df.withColumn(_SEGMENT, _segment_of(keyed, cuts.collect(), cuts.schema))
 
     names, sort = [_SEGMENT, *keys], sort_columns(order)
@@ -173,8 +202,13 @@ def slice_rows(
     if stop is not None and stop <= _SHORT:
         if not keys:
             return df.orderBy(*sort_columns(order)).offset(start).limit(stop - start)
-        # With so low a bound on row_number every task cuts its groups before the shuffle.
-        numbered = df.withColumn("__position", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order))))
+        # With so low a bound on row_number every task cuts its groups before the shuffle. Parts of a group are cut
+        # first, so the task that gets a whole group sees a bounded number of its rows, however many tasks there are.
+        sort = sort_columns(order)
+        parts = df.withColumn("__part", F.spark_partition_id() % _PARTS)
+        cut = parts.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*sort)))
+        few = cut.filter(F.col("__n") <= stop).drop("__part", "__n")
+        numbered = few.withColumn("__position", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
     else:
         numbered = with_position(df, keys, order, position="__position")
     kept = numbered.filter(F.col("__position") > start)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgrid.operators import numbering
 from quillgrid.operators.numbering import slice_rows, with_position
 from quillgrid.operators.skew import hot_keys, salted_join
 
@@ -18,7 +19,9 @@ def skewed(spark):
 
 
 @pytest.fixture
-def many_partitions(spark):
+def many_partitions(spark, monkeypatch):
+    """Segments for groups of any size, and many of them."""
+    monkeypatch.setattr(numbering, "SHORT_GROUP", -1)
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
@@ -75,7 +78,20 @@ def test_whole_table(spark, skewed, many_partitions):
 
 def test_short_slices_cut_before_the_shuffle(skewed):
     plan = slice_rows(skewed, ["k"], [F.col("v")], 5, 8)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4  # parts of groups first, each before and after its shuffle
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_short_groups_need_no_segments(skewed, monkeypatch, keys):
+    order = [(F.col("v"), True), F.col("k")]
+    short = with_position(skewed, keys, order, total="n", neighbour="v")
+    assert "shufflepartitionidpassthrough" not in short._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(numbering, "SHORT_GROUP", -1)
+    long = with_position(skewed, keys, order, total="n", neighbour="v")
+    assert short.schema == long.schema
+    # Rows that tie are alike, so all numbers are equal but theirs among themselves.
+    assert sorted(r.position for r in short.collect()) == sorted(r.position for r in long.collect())
+    assert sorted((str(r.k), r.v, r.n) for r in short.collect()) == sorted((str(r.k), r.v, r.n) for r in long.collect())
 
 
 def test_slices(spark, skewed):
