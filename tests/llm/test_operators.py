@@ -291,6 +291,39 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.5, 40.0, 30_000.0])
+def test_top_k_reads_few_exact_vectors(spark, monkeypatch, spread):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, spread) for _ in range(12)], i, i, i) for i in range(400)]
+    rows += [(500 + i, rows[i % 3][1], 0, 0, 0) for i in range(30)]  # ties
+    # Columns with names that the operator uses.
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, block int, stripe int, uid int")
+    whole = [(r[0], np.floor(64 * np.array(r[1]))) for r in rows]
+    want = set()
+    for q, v in whole:
+        if q % 20 == 0:
+            scores = sorted((-int(sum(int(a) * int(b) for a, b in zip(v, w))), i) for i, w in whole if i != q)[:20]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    vectors = topk._numbered(df)
+    queries = vectors.filter("vec_id % 20 = 0")
+    read = topk._by_approximation(vectors, queries, 20, 4).count()
+    assert read < 3 * 20 * queries.count()  # of 429 each
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    for scale in (3, 300, 1e6):
+        v, q = (np.floor(rng.normal(size=(n, 9)) * scale) for n in (50, 8))
+        low, step, width, cells = topk.cells_of(v)
+        lower, upper = topk.bounds(q, low, step, width, cells)
+        exact = q @ v.T
+        assert (lower <= exact).all() and (exact <= upper).all()
+        assert scale > 3 or np.allclose(lower, upper, atol=1e-6)
+
+
 def test_top_k_of_large_components(spark):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(100)]
