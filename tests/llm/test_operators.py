@@ -366,8 +366,27 @@ def test_license_scan(spark):
         None,
         "Copyright 2021 A. All rights reserved.",
     ]
-    got = {r.doc_id: r.license_id for r in license_scan.scan(documents(spark, texts), license_scan.known_licenses(spark)).collect()}
-    assert got == {0: "MIT", 1: "MIT-notice", 2: None, 3: None, 4: None, 5: None}
+    bsd = dict(license_scan.TEXTS)["BSD-3-Clause"]
+    texts += [
+        "MIT License\n\nCopyright Joyent, Inc. and other contributors\n\n" + mit,
+        "The MIT License (MIT)\nCopyright Jane Doe 2020\n" + mit.replace("software", "Software"),
+        "BSD 3-Clause License\n\nCopyright (c) 2019, A\nAll rights reserved.\n\n" + bsd.replace("copyright holder nor", "Copyright Owner nor"),
+        "Some prose.\nReleased under the MIT Licence.\nMore.\n\n" + mit.replace("\n", " ") + "\n\nEnd. Licensed under CC BY-NC 4.0.",
+        "MIT License\n",
+        (None, "x\nLicensed under CC BY-NC 4.0."),
+        (None, None),
+    ]
+    known = license_scan.known_licenses(spark)
+    rows = license_scan.scan(documents(spark, [*texts, (1, "again, released under\nReleased under the MIT License.")]), known).collect()
+    got = {r.doc_id: r.license_id for r in rows if r.doc_id not in (None, 1)}
+    assert got == {0: "MIT", 2: None, 3: None, 4: None, 5: None, 6: "MIT", 7: "MIT", 8: "BSD-3-Clause", 9: None, 10: None}
+    assert sorted((r.license_id or "", r.part_license_ids) for r in rows if r.doc_id == 1) == [("", "MIT-notice"), ("MIT-notice", "MIT-notice")]
+    assert [r.part_license_ids for r in rows if r.doc_id == 9] == ["MIT,MIT-notice"]
+    assert [r.part_license_ids for r in rows if r.doc_id is None] == ["CC-BY-NC-4.0-notice"] * 2
+    assert license_scan.scan(documents(spark, []), known).count() == 0
+    every = {i: t for i, t in [*license_scan.NOTICES, *license_scan.TEXTS]}
+    named = license_scan.scan(documents(spark, list(every.values())), known).collect()
+    assert [r.license_id for r in sorted(named, key=lambda r: r.doc_id)] == list(every)
 
 
 def test_cross_entropy(spark):
