@@ -111,10 +111,15 @@ def pager(positions: DataFrame, position: str = "position", total: str = "sample
     )
 
 
-def library_totals(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return files.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size")
-    )
+def library_totals(files: DataFrame, keys: Sequence[str] = (), overall: str | None = None) -> DataFrame:
+    """Files and bytes per group. ``overall`` adds a row for all files, with that name in every key, from the same scan."""
+    sums = [F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size")]
+    if overall is None:
+        return files.groupBy(*keys).agg(*sums)
+    # The grouping id tells a group of NULLs from the row for all.
+    every = files.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(*sums, F.grouping_id().alias("__set"))
+    named = {k: F.when(F.col("__set") > 0, F.lit(overall)).otherwise(F.col(k)) for k in keys}
+    return every.withColumns(named).drop("__set")
 
 
 def facet_counts(files: DataFrame, facets: Sequence[str]) -> DataFrame:

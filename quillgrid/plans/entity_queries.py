@@ -29,6 +29,25 @@ from (select *, min(updated_at) over (partition by task_id) created_at,
  row_number() over (partition by task_id order by updated_at desc, event_id desc) rn from fx_task_events) where rn = 1""")
 
 
+def task_state_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Tasks from events that set some fields only; a sign-up creates a task, and others are left out without one."""
+    events = v.task_events(v.table(spark, folder, "events"))
+    sparse = events.withColumns(
+        {
+            "kind": F.when(F.col("event_id") % 3 > 0, F.col("kind")),
+            "status": F.when(F.col("event_id") % 4 > 0, F.col("status")),
+            "made": F.col("status") == "queued",
+        }
+    )
+    return en.task_states(sparse, creates=F.col("made")).drop("made")
+
+
+TASK_STATE_SPARSE_SQL = with_views("fx_task_events", """
+select task_id, min(updated_at) created_at, max(updated_at) updated_at, arg_max(event_id, (updated_at, event_id)) event_id,
+ arg_max(kind, (updated_at, event_id)) filter (event_id % 3 > 0) kind, arg_max(status, (updated_at, event_id)) filter (event_id % 4 > 0) status
+from fx_task_events group by task_id having bool_or(status = 'queued')""")
+
+
 def token_status(spark: SparkSession, folder: str) -> DataFrame:
     # A token without a refresh token asks for a new consent.
     tokens = v.tokens(spark, folder).withColumn("consent_lost", ~F.col("has_refresh_token"))
@@ -193,6 +212,7 @@ def ordered_patches(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "task_state": task_state,
+    "task_state_sparse": task_state_sparse,
     "token_status": token_status,
     "token_lookup": token_lookup,
     "user_defaults": user_defaults,
@@ -208,6 +228,7 @@ QUERIES = {
 }
 ORACLES = {
     "task_state": TASK_STATE_SQL,
+    "task_state_sparse": TASK_STATE_SPARSE_SQL,
     "token_status": TOKEN_STATUS_SQL,
     "token_lookup": TOKEN_LOOKUP_SQL,
     "user_defaults": USER_DEFAULTS_SQL,

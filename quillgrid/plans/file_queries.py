@@ -239,15 +239,15 @@ from (select lang, doc_id, count(*) over (partition by lang) sample_count,
 def class_map(spark: SparkSession, folder: str) -> DataFrame:
     """Per class: the last source seen, sample count, and its label (the quality of its last rated sample)."""
     docs = v.table(spark, folder, "documents").select("doc_id", "lang", "source")
-    last = fold_to_map(docs, "source", "lang", "doc_id").withColumnsRenamed({"source": "classification", "lang": "last_lang"})
-    counts = docs.groupBy(F.col("source").alias("classification")).agg(F.count(F.lit(1)).alias("samples"))
+    last = F.max_by("lang", "doc_id").alias("last_lang")
+    seen = docs.groupBy(F.col("source").alias("classification")).agg(last, F.count(F.lit(1)).alias("samples"))
     rated = docs.join(v.table(spark, folder, "labels"), "doc_id")
     labels = fold_to_map(rated, "source", "quality", "doc_id").select(
         F.col("source").alias("classification"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("label"),
         (F.col("quality") == 1).alias("is_original"),
     )
     indices = rated.filter("toxic = 1").groupBy(F.col("source").alias("classification")).agg(F.count(F.lit(1)).cast("int").alias("page_index"))
-    return class_overview(last.join(counts, "classification"), labels, indices)
+    return class_overview(seen, labels, indices)
 
 
 CLASS_MAP_SQL = """select c.classification, last_lang, samples, coalesce("label", '') "label",
@@ -259,10 +259,7 @@ left join (select source classification, concat('quality ', arg_max(quality, d.d
 
 
 def library_totals(spark: SparkSession, folder: str) -> DataFrame:
-    files = v.files(spark, folder)
-    per_source = ls.library_totals(files, ["source"])
-    overall = ls.library_totals(files).withColumn("source", F.lit("all"))
-    return per_source.unionByName(overall)
+    return ls.library_totals(v.files(spark, folder), ["source"], overall="all")
 
 
 LIBRARY_TOTALS_SQL = with_views("fx_files", """
