@@ -2,12 +2,15 @@
 
 Sections end at blank lines, paragraphs at line ends. A paragraph's leaves are
 spans of about eight words, cut where the bytes before a space say so; an edit
-therefore moves no cut but those it touches. Every byte of a text is in one leaf,
-so equal roots mean equal texts. A fingerprint is the root, then the first 24
-bits and the length of each leaf in the order of the tree, with marks between paragraphs and
-sections; the inner nodes follow from the leaves. Two fingerprints are compared
-from the top: equal sections are set aside whole, then equal paragraphs of the
-rest, and only what still differs is compared leaf by leaf.
+therefore moves no cut but those it touches. Longer spans, as in text that
+repeats itself, are cut again at fixed places. A leaf is a digest of its bytes, a
+paragraph one of its leaves' digests, a section one of its paragraphs', and the
+root one of the sections'. Every byte of a text is in one leaf, so equal roots
+mean equal texts. A fingerprint is the root, then every node in the order of the
+tree: 24 bits of its digest and the number of bytes below it. Two fingerprints
+are compared from the top: equal sections are set aside whole, then equal
+paragraphs of the rest, and only what still differs is compared leaf by leaf. In
+the same way ``edit_ranges`` descends to the bytes that were edited.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from hashlib import blake2b, sha256
 
 import numpy as np
@@ -30,6 +34,7 @@ _LEAF = 8
 _WINDOW = 8
 _WEIGHTS = np.array([7, 31, 131, 547, 2221, 9029, 36697, 149113], np.uint32)
 _ANYWHERE = 512  # without spaces, a span has about so many bytes
+_LONGEST = 255  # bytes of a leaf, so that two hex digits hold its length
 
 
 def _spans(raw: bytes) -> list[bytes]:
@@ -44,65 +49,114 @@ def _spans(raw: bytes) -> list[bytes]:
     mixed = (window * np.uint32(2654435761)) >> 16
     cut = ((b[_WINDOW:] == 32) & (mixed % SPAN_WORDS == 0)) | (mixed % _ANYWHERE == 0)
     cuts = (np.flatnonzero(cut) + _WINDOW + 1).tolist()
-    return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)]) if i < j]
+    spans = [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)]) if i < j]
+    if max(map(len, spans), default=0) <= _LONGEST:
+        return spans
+    return [x[i : i + _LONGEST] for x in spans for i in range(0, len(x), _LONGEST)]
 
 
 def _leaf(span: bytes) -> bytes:
     return blake2b(span, digest_size=16).digest()
 
 
+def _node(digest: bytes, size: int, mark: str, below: str) -> str:
+    return f"{digest.hex()[:6]}{size:x}{mark}{below}"
+
+
 def fingerprint(text: str) -> str:
-    """Root and leaves of ``text``; the empty text has a root and no leaf."""
-    root, sections, paragraphs = sha256(), [], []
+    """Root and nodes of ``text``; the empty text has a root and no node."""
+    tops, sections, digests, paragraphs, size = [], [], [], [], 0
+
+    def close() -> None:
+        nonlocal size
+        tops.append(_leaf(b"".join(digests)))
+        sections.append(_node(tops[-1], size, ".", ";".join(paragraphs)))
+        digests.clear()
+        paragraphs.clear()
+        size = 0
+
     for line in text.encode().splitlines(keepends=True) if text else []:
         spans = _spans(line)
-        leaves = [_leaf(s) for s in spans]
-        root.update(blake2b(b"".join(leaves), digest_size=16).digest())
-        paragraphs.append("".join(d.hex()[:6] + f"{min(len(s), 255):02x}" for d, s in zip(leaves, spans)))
+        leaves = [_leaf(x) for x in spans]
+        digests.append(_leaf(b"".join(leaves)))
+        paragraphs.append(_node(digests[-1], len(line), ",", "".join([d.hex()[:6] + f"{len(x):02x}" for d, x in zip(leaves, spans)])))
+        size += len(line)
         if not line.strip():
-            root.update(b"/")
-            sections.append(";".join(paragraphs))
-            paragraphs = []
+            close()
     if paragraphs:
-        sections.append(";".join(paragraphs))
-    return root.hexdigest()[:32] + ":" + "/".join(sections)
+        close()
+    return sha256(b"".join(tops)).hexdigest()[:32] + ":" + "/".join(sections)
+
+
+def _split(node: str, mark: str) -> list[str]:
+    return [x for x in node.split(mark) if x]
 
 
-def _split(node: str, mark: str) -> Counter:
-    return Counter(x for x in node.split(mark) if x)
+def _size(node: str, mark: str) -> int:
+    """Bytes of text below a section (``mark`` is a full stop) or a paragraph (a comma)."""
+    return int(node[6 : node.index(mark)], 16)
 
 
-def _size(node: str) -> int:
-    """Bytes of text below a node."""
-    plain = node.replace(";", "").replace("/", "")
-    return sum(int(plain[i + 6 : i + 8], 16) for i in range(0, len(plain), _LEAF))
+def _leaves(paragraph: str) -> list[str]:
+    plain = paragraph[paragraph.index(",") + 1 :]
+    return [plain[i : i + _LEAF] for i in range(0, len(plain), _LEAF)]
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the text of two fingerprints, in bytes, whose leaves they have in common; 1 if the roots are equal."""
+    """Share of the text of two fingerprints, in bytes, whose nodes they have in common; 1 if the roots are equal."""
     (root_a, body_a), (root_b, body_b) = a.split(":", 1), b.split(":", 1)
     if root_a == root_b:
         return 1.0
-    total = _size(body_a) + _size(body_b)
+    left_a, left_b = (Counter(_split(body, "/")) for body in (body_a, body_b))
+    total = sum(_size(x, ".") * n for left in (left_a, left_b) for x, n in left.items())
     if not total:
         return 0.0
-    common, left_a, left_b = 0, Counter([body_a]), Counter([body_b])
-    for mark in "/;":
-        left_a = sum((Counter({k: n * v for k, n in _split(x, mark).items()}) for x, v in left_a.items()), Counter())
-        left_b = sum((Counter({k: n * v for k, n in _split(x, mark).items()}) for x, v in left_b.items()), Counter())
+    common = 0
+    for mark in ".,":
         same = left_a & left_b
-        common += sum(_size(x) * n for x, n in same.items())
-        left_a, left_b = left_a - same, left_b - same
+        common += sum(_size(x, mark) * n for x, n in same.items())
+        below_a, below_b = Counter(), Counter()
+        for below, left in ((below_a, left_a - same), (below_b, left_b - same)):
+            for x, n in left.items():
+                for child in _split(x[x.index(".") + 1 :], ";") if mark == "." else _leaves(x):
+                    below[child] += n
+        left_a, left_b = below_a, below_b
+    common += sum(int(x[6:], 16) * n for x, n in (left_a & left_b).items())
+    return 2 * common / total
 
-    def leaves(nodes: Counter) -> Counter:
-        out: Counter = Counter()
-        for x, n in nodes.items():
-            for i in range(0, len(x), _LEAF):
-                out[x[i : i + _LEAF]] += n
-        return out
 
-    common += sum(int(x[6:], 16) * n for x, n in (leaves(left_a) & leaves(left_b)).items())
-    return 2 * common / total
+def edit_ranges(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """``a_start, a_end, b_start, b_end`` in bytes of the stretches in which the texts of two fingerprints differ, in order.
+
+    Only branches whose digests differ are followed, so the ranges are as wide as the leaves that hold an edit.
+    """
+    (root_a, body_a), (root_b, body_b) = a.split(":", 1), b.split(":", 1)
+    if root_a == root_b:
+        return []
+    out: list[tuple[int, int, int, int]] = []
+
+    def sizes(nodes: list[str], mark: str) -> int:
+        return sum(int(x[6:], 16) if mark == "" else _size(x, mark) for x in nodes)
+
+    def descend(nodes_a: list[str], nodes_b: list[str], mark: str, at_a: int, at_b: int) -> None:
+        for kind, i, j, k, m in SequenceMatcher(None, nodes_a, nodes_b, autojunk=False).get_opcodes():
+            wide_a, wide_b = sizes(nodes_a[i:j], mark), sizes(nodes_b[k:m], mark)
+            if kind == "equal":
+                pass
+            elif mark and i < j and k < m:
+                below = [
+                    [c for x in nodes for c in (_split(x[x.index(".") + 1 :], ";") if mark == "." else _leaves(x))]
+                    for nodes in (nodes_a[i:j], nodes_b[k:m])
+                ]
+                descend(*below, "," if mark == "." else "", at_a, at_b)
+            elif out and out[-1][1] == at_a and out[-1][3] == at_b:
+                out[-1] = (out[-1][0], at_a + wide_a, out[-1][2], at_b + wide_b)
+            else:
+                out.append((at_a, at_a + wide_a, at_b, at_b + wide_b))
+            at_a, at_b = at_a + wide_a, at_b + wide_b
+
+    descend(_split(body_a, "/"), _split(body_b, "/"), ".", 0, 0)
+    return out
 
 
 def edited(text: str, following: str) -> str:

@@ -66,6 +66,47 @@ def test_likeness_follows_the_edit():
     assert merkle.likeness(mark, merkle.fingerprint("")) == 0
 
 
+def test_likeness_of_text_that_repeats_itself():
+    text = "hello world. " * 400
+    mark = merkle.fingerprint(text)
+    assert all(len(x) <= 255 for x in merkle._spans(text.encode()))
+    assert 0.6 < merkle.likeness(mark, merkle.fingerprint(merkle.edited(text, prose(4, 2000)))) < 0.72
+
+
+def test_likeness_counts_common_leaves():
+    """Against the leaves themselves: copies of a leaf count as often as both texts have them."""
+    from collections import Counter
+
+    rng = random.Random(11)
+    for _ in range(60):
+        parts = [prose(i, 25) + rng.choice(["\n", "\n\n", " "]) for i in range(6)]
+        a, b = ("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(2))
+        leaves = [Counter(x for line in t.encode().splitlines(keepends=True) for x in merkle._spans(line)) for t in (a, b)]
+        both = sum(len(x) * n for x, n in (leaves[0] & leaves[1]).items())
+        want = 1.0 if a == b else 2 * both / max(len(a.encode()) + len(b.encode()), 1)
+        # A section that is equal as a whole is set aside first, so a leaf elsewhere can miss its copy, never find too much.
+        got = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_edit_ranges_locate_edits():
+    rng = random.Random(12)
+    for _ in range(40):
+        text = "".join(prose(rng.randrange(1000), 30) + rng.choice(["\n", "\n\n"]) for _ in range(20))
+        at = rng.randrange(len(text))
+        new = text[:at] + rng.choice(["", "inserted words here ", "é\n\n"]) + text[at + rng.choice([0, 7]) :]
+        a, b = text.encode(), new.encode()
+        ranges = merkle.edit_ranges(merkle.fingerprint(text), merkle.fingerprint(new))
+        assert bool(ranges) == (a != b)
+        rebuilt, place = b"", 0
+        for a0, a1, b0, b1 in ranges:
+            rebuilt += a[place:a0] + b[b0:b1]
+            place = a1
+        assert rebuilt + a[place:] == b
+        assert sum(r[1] - r[0] for r in ranges) <= 800 < len(a)
+    assert merkle.edit_ranges(merkle.fingerprint(""), merkle.fingerprint("abc")) == [(0, 0, 0, 3)]
+
+
 @pytest.mark.parametrize("bounds", [[], [5], list(range(0, 50, 7)), list(range(100))])
 def test_range_of(spark, bounds):
     df = spark.range(-3, 120).withColumn("r", merkle._range_of(F.col("id"), bounds))
