@@ -23,7 +23,7 @@ from quillgrid.session import materialise
 GRAM = 3
 # Rules that no string narrows down are tested on every row, so there may be only so many.
 MOST_OPEN = 100
-FOLDERS = 256
+FOLDERS = 64
 _RARE = 2
 
 
