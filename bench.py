@@ -39,6 +39,9 @@ HEADLINE = (
     "layout_2d",
     "neighbour_distances",
     "graph_match",
+    "trade_triangles",
+    "statement_cells",
+    "rule_labels",
     "stream_sync",
     "stream_task_state",
 )
