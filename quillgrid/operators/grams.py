@@ -1,10 +1,12 @@
 """Text search through three-letter grams: rule tables and many patterns at once.
 
-A text that holds a string holds all its grams, so the rarest of these names the
-few texts to look at. ``label_by_rules`` applies thousands of regular expressions
-that way, each by a string that all its matches must hold. ``write_grams`` stores
-the grams of a catalogue, and ``search_grams`` looks many strings up in it, reading
-only the folders of wanted grams. Every candidate is tested exactly.
+A text that holds a string holds it from some place on. So the first gram of a
+string, and then as many letters as the string has, are a join key, and only
+texts that hold these letters are looked at. ``label_by_rules`` applies thousands
+of regular expressions that way, each by a string that all its matches must hold.
+``write_grams`` stores the grams of a catalogue with the letters after them, and
+``search_grams`` looks many strings up in it, reading only
+the folders of wanted grams. Every candidate is tested exactly.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.operators.skew import HOT_ROWS, salted_join
@@ -24,7 +26,10 @@ GRAM = 3
 # Rules that no string narrows down are tested on every row, so there may be only so many.
 MOST_OPEN = 100
 FOLDERS = 64
-_RARE = 2
+# Letters of a string that texts are looked up by, its first gram included; the rest is tested afterwards.
+KEY = 32
+# Grams that strings begin with, up to which their table is broadcast.
+MOST_GRAMS = 200_000
 
 
 def grams(text: Column) -> Column:
@@ -75,22 +80,47 @@ def _with_literals(rules: DataFrame) -> DataFrame:
     return rules.mapInArrow(run, f"{kinds}, literal string")
 
 
-def _rarest(wanted: DataFrame, key: str, counts: DataFrame, kept: int) -> DataFrame:
-    """``wanted`` (``key, gram``) cut to the rarest grams of each key; a key with a gram that no text holds is left out."""
-    counted = wanted.join(counts, "gram", "left")
-    order = Window.partitionBy(key).orderBy(F.coalesce("texts", F.lit(0)), "gram")
-    first = counted.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= kept)
-    absent = first.filter(F.col("texts").isNull()).select(key).distinct()
-    return first.join(absent, key, "left_anti").select(key, "gram")
+def _tails(text: Column) -> Column:
+    """The distinct starts of all suffixes of a text in lower case, of at most ``KEY`` letters and at least a gram."""
+    low = F.lower(text)
+    places = F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1)))
+    every = F.transform(places, lambda i: F.substr(low, i, F.lit(KEY)))
+    return F.array_distinct(F.filter(every, lambda t: F.length(t) >= GRAM))
+
+
+def _gram(text: Column) -> Column:
+    return F.substring(text, 1, GRAM)
+
+
+def _keyed(wanted: DataFrame, column: str) -> DataFrame:
+    """``wanted`` with ``key``: the first ``KEY`` letters of a column in lower case; shorter than a gram are left out."""
+    return wanted.withColumn("key", F.substring(F.lower(F.col(column)), 1, KEY)).filter(F.length("key") >= GRAM)
+
+
+def _met(places: DataFrame, keyed: DataFrame, own: str, other: str, hot_rows: int) -> DataFrame:
+    """Rows of ``places`` (with ``gram, tail``) and of ``keyed`` (with ``key``) where the tail begins with the key.
+
+    Of a tail only those starts become rows that are as long as some key with its gram.
+    """
+    sizes = materialise(keyed.select(_gram(F.col("key")).alias("gram"), F.length("key").alias("size")).distinct().groupBy("gram").agg(F.collect_set("size").alias("sizes")))
+    # One row per gram, with at most KEY numbers each; beyond that many grams Spark decides.
+    few = sizes.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS
+    fitting = F.filter("sizes", lambda n: n <= F.length("tail"))
+    starts = places.join(F.broadcast(sizes) if few else sizes, "gram").withColumn("size", F.explode(fitting))
+    cut = starts.withColumn("key", F.substring(F.col("tail"), F.lit(1), F.col("size"))).drop("gram", "tail", "sizes", "size")
+    return salted_join(cut, keyed, ["key"], spread=[F.col(own)], spread_right=[F.col(other)], hot_rows=hot_rows)
+
+
+def _rule_matches(texts: DataFrame, rules: DataFrame, hot_rows: int) -> DataFrame:
+    """``text`` and the columns of ``rules``: texts that hold the first ``KEY`` letters of a rule's literal; some repeat."""
+    tails = texts.select("text", F.explode(_tails(F.col("text"))).alias("tail")).withColumn("gram", _gram(F.col("tail")))
+    keyed = _keyed(rules.filter(F.col("rule_id").isNotNull()), "literal")
+    return _met(tails, keyed, "text", "rule_id", hot_rows).drop("key")
 
 
 def rule_candidates(texts: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``text, rule_id``: rules with a literal, with the distinct texts that hold the rarest gram of it."""
-    posted = materialise(texts.select("text", F.explode(grams(F.col("text"))).alias("gram")))
-    wanted = rules.filter(F.length("literal") >= GRAM).select("rule_id", F.explode(grams(F.col("literal"))).alias("gram"))
-    counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    keyed = materialise(_rarest(wanted, "rule_id", counts, 1))
-    return salted_join(posted, keyed, ["gram"], spread=[F.col("text")], spread_right=[F.col("rule_id")], hot_rows=hot_rows).select("text", "rule_id")
+    """``text, rule_id``: rules with a literal, with the distinct texts that hold the first ``KEY`` letters of it."""
+    return _rule_matches(texts, rules, hot_rows).select("text", "rule_id").distinct()
 
 
 def label_by_rules(df: DataFrame, column: str, rules: DataFrame, default: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -105,7 +135,7 @@ def label_by_rules(df: DataFrame, column: str, rules: DataFrame, default: str |
     if len(open_rules) > MOST_OPEN:
         raise ValueError(f"more than {MOST_OPEN} rules hold no string of {GRAM} letters")
     texts = df.select(F.col(column).alias("text")).filter(F.col("text").isNotNull()).distinct()
-    met = rule_candidates(texts, known, hot_rows).join(known, "rule_id")
+    met = _rule_matches(texts, known, hot_rows)
     met = met.filter(F.contains(F.lower("text"), F.col("literal")) & F.expr("text rlike pattern"))
 
     def rank(priority: Column, rule_id: Column, label: Column) -> Column:
@@ -124,12 +154,13 @@ def label_by_rules(df: DataFrame, column: str, rules: DataFrame, default: str |
 
 
 def write_grams(catalogue: DataFrame, path: str, id_col: str = "id", text_col: str = "name") -> None:
-    """Store for every gram the ids of the rows that hold it, and their number, in folders by a hash of the gram."""
-    posted = catalogue.select(F.explode(grams(F.col(text_col))).alias("gram"), F.col(id_col).alias("id"))
-    placed = materialise(posted.withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(FOLDERS)).cast("int")))
+    """Store for every gram the ids of the rows that hold it, with what follows it, and their number, in folders by a hash of the gram."""
+    posted = catalogue.select(F.explode(_tails(F.col(text_col))).alias("tail"), F.col(id_col).alias("id")).withColumn("gram", _gram(F.col("tail")))
+    placed = posted.withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(FOLDERS)).cast("int"))
     # A frequent gram is split over several files, which hold ranges of ids.
     placed.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("gram", "id").write.partitionBy("folder").parquet(f"{path}/ids")
-    placed.groupBy("folder", "gram").agg(F.count(F.lit(1)).alias("texts")).repartition("folder").write.partitionBy("folder").parquet(f"{path}/counts")
+    stored = catalogue.sparkSession.read.parquet(f"{path}/ids").select("folder", "gram")
+    stored.groupBy("folder", "gram").agg(F.count(F.lit(1)).alias("texts")).repartition("folder").write.partitionBy("folder").parquet(f"{path}/counts")
 
 
 def search_grams(
@@ -137,21 +168,23 @@ def search_grams(
 ) -> DataFrame:
     """``pattern_id`` and the columns of ``catalogue``: rows whose text holds a pattern, in any case.
 
-    ``patterns`` has ``pattern_id, pattern``. Of a pattern's grams the rarest two are looked up and their ids
-    intersected. A pattern shorter than a gram is compared with all rows.
+    ``patterns`` has ``pattern_id, pattern``. A pattern with a gram that no text holds is left out; the others are looked
+    up by their first gram and what follows it, up to ``KEY`` letters. A pattern shorter than a gram is compared with all rows.
     """
-    wanted = materialise(patterns.select("pattern_id", F.explode(grams(F.col("pattern"))).alias("gram")))
+    keyed = materialise(_keyed(patterns.select("pattern_id", "pattern"), "pattern"))
+    wanted = materialise(keyed.select("pattern_id", F.explode(grams(F.col("pattern"))).alias("gram")))
     folder = F.pmod(F.xxhash64("gram"), F.lit(FOLDERS)).cast("int")
     folders = [r[0] for r in wanted.select(folder).distinct().collect()]  # at most FOLDERS numbers
     here = F.col("folder").isin(folders) if folders else F.lit(False)
-    counts = spark.read.parquet(f"{path}/counts").filter(here).select("gram", "texts")
-    keyed = materialise(_rarest(wanted, "pattern_id", counts, _RARE))
-    ids = spark.read.parquet(f"{path}/ids").filter(here).select("gram", "id")
-    met = salted_join(ids, keyed, ["gram"], spread=[F.col("id")], spread_right=[F.col("pattern_id")], hot_rows=hot_rows)
-    needed = keyed.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("needed"))
-    both = met.groupBy("pattern_id", "id").agg(F.count(F.lit(1)).alias("held")).join(needed, "pattern_id").filter("held = needed")
+    counts = spark.read.parquet(f"{path}/counts").filter(here).select("gram")
+    absent = wanted.join(counts, "gram", "left_anti").select("pattern_id").distinct()
+    held = materialise(keyed.join(absent, "pattern_id", "left_anti").select("pattern_id", "key"))
+    firsts = [r[0] for r in held.select(F.pmod(F.xxhash64(_gram(F.col("key"))), F.lit(FOLDERS)).cast("int")).distinct().collect()]
+    first = F.col("folder").isin(firsts) if firsts else F.lit(False)
+    ids = spark.read.parquet(f"{path}/ids").filter(first).select("gram", "tail", "id")
+    both = _met(ids, held, "id", "pattern_id", hot_rows).select("pattern_id", "id").distinct()
     rows = catalogue.withColumn("id", F.col(id_col)) if id_col != "id" else catalogue
-    exact = both.select("pattern_id", "id").join(patterns, "pattern_id").join(rows, "id")
+    exact = both.join(patterns, "pattern_id").join(rows, "id")
     found = exact.filter(F.contains(F.lower(text_col), F.lower("pattern"))).select("pattern_id", *catalogue.columns)
     short = patterns.filter(F.length(F.lower("pattern")) < GRAM)
     few = short.limit(MOST_OPEN + 1).collect()

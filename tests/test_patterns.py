@@ -116,6 +116,16 @@ def test_only_few_rules_are_tried_per_row(spark):
         gr.label_by_rules(df, "text", gr.frame_of(spark, [(i, 0, "a.", "x") for i in range(gr.MOST_OPEN + 1)]))
 
 
+def test_rules_made_of_the_same_grams_meet_their_own_texts_only(spark):
+    numbers = [format(i, "010b") for i in range(512)]
+    df = spark.createDataFrame([(f"/f{n}.pdf",) for n in numbers], "text string")
+    known = gr._with_literals(gr.frame_of(spark, [(i, i, f"/f{n}\\.pdf$", "x") for i, n in enumerate(numbers)]))
+    assert gr.rule_candidates(df, known).count() == 512  # of 262,144 pairs; each gram is in many texts
+    long = gr.frame_of(spark, [(0, 0, "a" * 40 + "b", "b"), (1, 1, "a" * 40, "a")])  # longer than a key
+    texts = spark.createDataFrame([("a" * 40 + "b",), ("a" * 45,), ("a" * 39,)], "text string")
+    assert sorted(r.label for r in gr.label_by_rules(texts, "text", long, "none").collect()) == ["a", "b", "none"]
+
+
 def test_search_through_stored_grams(spark, tmp_path):
     rng = random.Random(5)
     names = ["".join(rng.choice("abAB") for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None]
