@@ -126,6 +126,18 @@ def test_rules_made_of_the_same_grams_meet_their_own_texts_only(spark):
     assert sorted(r.label for r in gr.label_by_rules(texts, "text", long, "none").collect()) == ["a", "b", "none"]
 
 
+def test_search_looks_at_the_rows_that_hold_a_pattern_only(spark, tmp_path):
+    names = [(i, "F" + format(i, "010b")) for i in range(512)]
+    df = spark.createDataFrame([*names, (5, "F" + format(5, "010b"))], "id bigint, name string")  # a repeated row
+    gr.write_grams(df, str(tmp_path / "grams"))
+    patterns_ = spark.createDataFrame(names, "pattern_id bigint, pattern string")
+    found = gr.search_grams(spark, str(tmp_path / "grams"), df, patterns_)
+    assert sorted((r.pattern_id, r.id) for r in found.collect()) == sorted([(i, i) for i in range(512)] + [(5, 5)])
+    ids = spark.read.parquet(str(tmp_path / "grams/ids"))
+    keyed = gr._keyed(patterns_, "pattern")
+    assert gr._met(ids, keyed, "id", "pattern_id", gr.HOT_ROWS).count() == 513  # of 262,656 pairs
+
+
 def test_search_through_stored_grams(spark, tmp_path):
     rng = random.Random(5)
     names = ["".join(rng.choice("abAB") for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None]
