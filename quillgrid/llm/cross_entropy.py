@@ -20,14 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import slabs
-from quillgrid.llm.common import labelled_sample, written
+from quillgrid.llm.common import training_labels, written
 
-# Bound of what the driver collects: labelled ids of the target.
-MAX_LABELLED = 20_000
 # Weight of the unigram distribution in a bigram's, and of the uniform one in a unigram's.
 BIGRAM_PRIOR = 200.0
 UNIGRAM_PRIOR = 1000.0
-SLAB_BYTES = 8 << 20
+SLAB_BYTES = 6 << 20
 # The word in front of a text's first; no white-space word equals it.
 _START = " "
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,14 +51,20 @@ class _Units:
             words = words_of(raw[at : at + size].decode())
             at += size
             self.tokens[i] = len(words)
-            rows.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.int64, len(words)))
+            rows.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.int32, len(words)))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-        self.word = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.word = np.concatenate(rows) if rows else np.empty(0, np.int32)
         ends = np.cumsum(self.tokens)
         self.first = (ends - self.tokens)[self.tokens > 0]
-        self.before = np.append(0, self.word[:-1])[: len(self.word)]
+        del rows
+        self.before = np.append(np.int32(0), self.word[:-1])[: len(self.word)]
         self.before[self.first] = 0
-        pairs, self.pair = np.unique(_mixed(hashes[self.before] * _MIX + hashes[self.word]), return_inverse=True)
+        joint = hashes[self.before]
+        joint *= _MIX
+        joint += hashes[self.word]
+        pairs, places = np.unique(_mixed(joint), return_inverse=True)
+        self.pair = places.astype(np.int32)  # numbers of 64 bits would be most of a task's memory
+        del joint, places
         self.words = self._dealt(_mixed(hashes), n)
         self.pairs = self._dealt(pairs, n)
 
@@ -106,11 +110,11 @@ def _sums(pieces: Iterator) -> Iterator:
         yield slab, slabs.pack_arrays(*(x.astype("<i8") for x in (*words, *pairs)))
 
 
-def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every row of ``documents``; losses are means in nats.
 
-    The target is at most ``max_labelled`` training labels' texts of quality 1;
-    everything else covers all texts and words. Bigrams begin with a start mark.
+    The target is the texts of all training labels of quality 1, and the
+    background all texts. Bigrams begin with a start mark.
     A NULL or empty text has no token, losses and score 0. Without a target its
     model is uniform. Repeated rows give repeated results and count as often as
     they occur; rows without an id are scored too; an id labelled twice counts
@@ -120,13 +124,14 @@ def score(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     spark = documents.sparkSession
     n = slabs.buckets(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(labels, "quality", max_labelled).filter("label = 1")
-    target = frozenset(r["doc_id"] for r in sample.collect())  # at most max_labelled
+    good = training_labels(labels, "quality").filter("label = 1").select("doc_id", F.lit(True).alias("good"))
+    # Spark broadcasts the ids as long as they are few; beyond that texts move once more.
+    marked = documents.select("doc_id", "text").join(good, "doc_id", "left")
 
-    def units(ids: list, raw: bytes, sizes: np.ndarray) -> list[bytes]:
-        return _Units(raw, sizes, n).pieces(np.array([i in target for i in ids], bool), n)
+    def units(good: list, raw: bytes, sizes: np.ndarray) -> list[bytes]:
+        return _Units(raw, sizes, n).pieces(np.array([g is True for g in good], bool), n)
 
-    table = written(slabs.text_slabs(documents, units, SLAB_BYTES), "lm-slabs")
+    table = written(slabs.text_slabs(marked, units, SLAB_BYTES, "good"), "lm-slabs")
     values = written(slabs.look_up(table.select("slab", "units"), _sums, n), "lm-counts")
     numbers = F.split(F.col("value").cast("string"), ",")
     totals = [F.coalesce(F.sum(numbers[i].cast("bigint")), F.lit(0)) for i in range(3)]

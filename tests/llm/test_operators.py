@@ -462,6 +462,33 @@ def test_cross_entropy(spark):
     assert cross_entropy.score(documents(spark, []), labels).count() == 0
 
 
+def test_cross_entropy_learns_from_every_training_label(spark):
+    n = 40_000
+    docs = spark.range(n + 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "a").otherwise("b").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    good = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(n))
+    last = cross_entropy.score(docs, labels).filter(F.col("doc_id") == n).first()
+    p = (0 + 1000 / 2) / (good + 1000)
+    assert good > 20_000 and last.target_loss == pytest.approx(-np.log(200 * p / (good + 200)), abs=1e-9)
+
+
+def test_pipeline_links_near_fingerprints(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    texts = [" ".join(base)]
+    while len(texts) < 2:  # near by fingerprint, but not by shingles
+        words = list(base)
+        for at in rng.choice(400, 22, replace=False):
+            words[at] = "x%d" % rng.integers(0, 10**6)
+        a, b = (simhash.text_fingerprint(" ".join(w).encode()) for w in (base, words))
+        sets = [similar.shingle_set(" ".join(w)) for w in (base, words)]
+        if (a ^ b).bit_count() <= 4 and len(np.intersect1d(*sets)) < 0.8 * len(np.union1d(*sets)):
+            texts.append(" ".join(words))
+    docs = documents(spark, [*texts, "something else"])
+    assert similar.without_near_duplicates(docs).count() == 3
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 3000
     rows = [(3, "http://a/ b", big), (1, None, big), (2, "u", "short"), (4, "u", "short"), (5, "u", None), (5, "u", None), (None, "u", big), (6, "u", "\r\n\r\nWARC/1.1\r\n" * 20)]
