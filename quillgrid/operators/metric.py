@@ -11,7 +11,11 @@ a part of the space only.
 
 All cells of a level are cut in one pass. The tables of a level are written, and
 a cell is compared within one task, its own points against its guests in
-blocks.
+blocks. Where all points are about equally far apart, every point would be a
+guest everywhere, so a cut that leaves most pairs is not made: the cell stays
+whole, and its own points are dealt to tasks in chunks, each compared with all
+points of the cell as they stream by. Pairs are then quadratic, but a row is
+written once, and memory is bounded by the chunk.
 """
 
 from __future__ import annotations
@@ -35,7 +39,13 @@ _DEEPEST = 24
 # Floating-point slack of the screening by matrix products, relative to the squared lengths.
 _SLACK = 1e-9
 # Guests that are compared with a cell's own points at a time.
-_BLOCK = 512
+_BLOCK = 256
+# A cut must leave at most this share of a cell's pairs, or it copies more rows than it saves comparisons.
+WORTH = 0.75
+# Nor may the cells of a cut hold more rows than this many for each of its points.
+COPIES = 8
+# Own points that one task compares of a cell that no cut helps.
+CHUNK = 16384
 
 
 def _direction(sample: np.ndarray, eps: float, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,22 +91,36 @@ def _cuts(rows: DataFrame, cells: DataFrame, eps: float, parts: int) -> DataFram
     return sampled.mapInArrow(run, "cell bigint, unit array<double>, cuts array<double>")
 
 
-def cells(points: DataFrame, eps: float, leaf: int = LEAF, parts: int = PARTS) -> DataFrame:
-    """``cell, pt, coords, own`` of ``points`` (``pt, coords`` and other columns, which are kept).
+def _worthwhile(children: DataFrame) -> DataFrame:
+    """``cell``: those whose cut leaves at most ``WORTH`` of the pairs of own points and all points, and few copies."""
+    kept = children.groupBy("cell", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") & (F.col("part") == F.col("home"))).alias("own"),
+        F.count_if(F.col("part") == F.col("home")).alias("rows"),
+    )
+    pairs = (F.col(c).cast("double") for c in ("n", "own"))
+    sums = kept.groupBy("cell").agg(F.sum(next(pairs) * next(pairs)).alias("pairs"), F.sum("own").alias("own"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    few = F.col("n") <= COPIES * F.col("own")
+    return sums.filter(few & (F.col("pairs") <= WORTH * F.col("own").cast("double") * F.col("rows"))).select("cell")
+
+
+def cells(points: DataFrame, eps: float, leaf: int = LEAF, parts: int = PARTS, *, chunk: int = CHUNK) -> DataFrame:
+    """``cell, pt, coords, own, chunks`` of ``points`` (``pt, coords`` and other columns, which are kept).
 
     Every point is in one cell of its own and a guest of all cells that hold a point within ``eps`` of it. Points of a
-    cell are cut while there are more than ``leaf``, unless they are all equal.
+    cell are cut while there are more than ``leaf``, unless they are all equal or no cut helps; ``chunks`` tells in how
+    many parts of about ``chunk`` own points such a cell is compared.
     """
     rows = materialise(points.withColumn("cell", F.lit(1).cast("bigint")).withColumn("own", F.lit(True)))
+    rows = rows.withColumn("chunks", F.lit(1))
     done = None
     for _ in range(_DEEPEST):
         sizes = rows.filter("own").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        crowded = materialise(sizes.filter(F.col("n") > leaf).select("cell"))
+        crowded = materialise(sizes.filter(F.col("n") > leaf).select("cell", F.ceil(F.col("n") / chunk).cast("int").alias("__chunks")))
         small = rows.join(crowded, "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
         if crowded.isEmpty():
             return done
-        cuts = materialise(_cuts(rows, crowded, eps, parts))
+        cuts = materialise(_cuts(rows, crowded.select("cell"), eps, parts))
         placed = rows.join(cuts, "cell").withColumn("at", total(F.zip_with("coords", "unit", lambda x, u: x * u)))
 
         def part(at: Column) -> Column:
@@ -105,18 +129,19 @@ def cells(points: DataFrame, eps: float, leaf: int = LEAF, parts: int = PARTS) -
         slack = F.lit(eps * (1 + _SLACK)) + _SLACK * F.abs("at")
         home = part(F.col("at"))
         reached = F.explode(F.sequence(part(F.col("at") - slack), part(F.col("at") + slack)))
-        # A cell whose points are all alike has no cuts and stays as it is.
         children = placed.withColumn("home", home).withColumn("part", reached)
-        alike = F.size("cuts") == 0
-        step = children.select(
-            F.when(alike, F.col("cell")).otherwise(F.col("cell") * parts + F.col("part")).alias("next"),
+        worth = materialise(_worthwhile(children))
+        # A cell whose points are all alike has no cuts, and stays as it is like one that no cut helps.
+        whole = rows.join(crowded, "cell").join(worth, "cell", "left_anti")
+        done = done.unionByName(whole.withColumn("chunks", F.col("__chunks")).drop("__chunks"))
+        if worth.isEmpty():
+            return done
+        step = children.join(worth, "cell").select(
+            (F.col("cell") * parts + F.col("part")).alias("next"),
             (F.col("own") & (F.col("part") == F.col("home"))).alias("mine"),
-            alike.alias("alike"),
             *[c for c in rows.columns if c not in ("cell", "own")],
         ).withColumnsRenamed({"next": "cell", "mine": "own"})
-        step = materialise(step)
-        done = done.unionByName(step.filter("alike").drop("alike"))
-        rows = step.filter("not alike").drop("alike")
+        rows = materialise(step)
     return done.unionByName(rows)
 
 
@@ -131,37 +156,41 @@ def _near(own: np.ndarray, others: np.ndarray, eps: float) -> np.ndarray:
 
 
 def _by_cell(rows: DataFrame, own_first: type, schema: str) -> DataFrame:
-    """Feed each cell to an ``own_first``: ``own(ids, coords, weights)`` once, ``guests(...)`` in blocks, then ``rows()``."""
+    """Feed each chunk of a cell to an ``own_first``: ``own(ids, coords, weights)`` once, ``guests(...)`` in blocks, then ``rows()``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, state, held, mine = None, None, [], True
-
-        def flush():
-            nonlocal state
-            if held:
-                ids, coords, weights = zip(*held)
-                columns = np.array(ids), np.array(coords, float), np.array(weights, np.int64)
-                if mine:
-                    state = own_first(*columns)
-                elif state is not None:
-                    state.guests(*columns)
-                held.clear()
-
+        cell, state, held = None, None, []
         for batch in batches:
-            for c, own, pt, coords, weight in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if c != cell or own != mine or (not own and len(held) >= _BLOCK):
-                    flush()
-                    if c != cell and state is not None:
+            if not batch.num_rows:
+                continue
+            cell_of, chunk_of, own_of, pt, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
+            coords = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            new = (np.diff(cell_of) != 0) | (np.diff(chunk_of) != 0) | (own_of[1:] != own_of[:-1])
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                here, mine = (cell_of[a], chunk_of[a]), own_of[a]
+                if held and (here != cell or not mine):
+                    state, held = own_first(*(np.concatenate(c) for c in zip(*held))), []
+                if here != cell:
+                    if state is not None:
                         yield from state.rows()
-                        state = None
-                    cell, mine = c, own
-                held.append((pt, coords, weight))
-        flush()
+                    cell, state = here, None
+                if mine:
+                    held.append((pt[a:b], coords[a:b], weight[a:b]))
+                elif state is not None:
+                    for at in range(a, b, _BLOCK):
+                        part = slice(at, min(at + _BLOCK, b))
+                        state.guests(pt[part], coords[part], weight[part])
+        if held:
+            state = own_first(*(np.concatenate(c) for c in zip(*held)))
         if state is not None:
             yield from state.rows()
 
-    named = rows.select("cell", "own", "pt", "coords", "weight")
-    return named.repartition("cell").sortWithinPartitions("cell", F.desc("own")).mapInArrow(run, schema)
+    chunks = F.col("chunks") if "chunks" in rows.columns else F.lit(1)
+    dealt = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    mine = F.col("own") & (F.pmod(F.xxhash64("pt"), chunks).cast("int") == F.col("__chunk"))
+    named = dealt.select("cell", F.col("__chunk").alias("chunk"), mine.alias("own"), "pt", "coords", "weight")
+    return named.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("own")).mapInArrow(run, schema)
 
 
 def neighbour_counts(celled: DataFrame, eps: float) -> DataFrame:
@@ -197,13 +226,14 @@ def links(celled: DataFrame, eps: float) -> DataFrame:
                 start, waiting = int(waiting[0]), waiting[1:]
                 queue = [start]
                 while queue and len(waiting):
-                    node = queue.pop()
-                    near = _near(coords[waiting], coords[[node]], eps)[:, 0]
-                    for other in waiting[near].tolist():
-                        self.pairs.append((ids[node], ids[other]))
-                        self.root[other] = start
-                        queue.append(other)
-                    waiting = waiting[~near]
+                    nodes, queue = np.array(queue[:_BLOCK]), queue[_BLOCK:]
+                    near = _near(coords[waiting], coords[nodes], eps)
+                    met = near.any(axis=1)
+                    found = waiting[met]
+                    self.pairs += zip(ids[nodes[near[met].argmax(axis=1)]], ids[found])
+                    self.root[found] = start
+                    queue += found.tolist()
+                    waiting = waiting[~met]
 
         def guests(self, ids, coords, _weights):
             near = _near(self.coords, coords, eps)

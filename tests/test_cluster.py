@@ -245,3 +245,28 @@ def test_equal_points_need_no_cut(spark):
     celled = metric.cells(df, 0.5, leaf=8)
     assert celled.select("cell").distinct().count() == 1 and celled.filter("own").count() == 50
     assert {r.near for r in metric.neighbour_counts(celled, 0.5).collect()} == {50}
+
+
+def test_points_that_are_equally_far_are_not_copied(spark):
+    """Cuts of such points make nearly all of them guests of every part, so the cell stays whole and is compared in chunks."""
+    rng = random.Random(8)
+    points = {i: [rng.gauss(0, 1) for _ in range(32)] for i in range(400)}
+    df = spark.createDataFrame([(i, c, 1) for i, c in points.items()], "pt bigint, coords array<double>, weight int")
+    eps = 6.0
+    celled = metric.cells(df, eps, leaf=25, chunk=50)
+    assert celled.count() == 400 and {r.chunks for r in celled.collect()} == {8}
+    near = {i: sum(math.dist(c, d) <= eps for d in points.values()) for i, c in points.items()}
+    assert {r.pt: r.near for r in metric.neighbour_counts(celled, eps).collect()} == near
+    pairs = metric.links(celled, eps).collect()
+    assert all(math.dist(points[r.a], points[r.b]) <= eps for r in pairs)
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in pairs:
+        root[find(r.a)] = find(r.b)
+    for i, c in points.items():
+        assert all(find(i) == find(j) for j, d in points.items() if math.dist(c, d) <= eps)
