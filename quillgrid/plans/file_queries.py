@@ -326,13 +326,22 @@ union all select -1, id, name from fx_files where contains(lower(name), 'f1')"""
 
 
 _LISTED = "path_display string, name string, is_file boolean, rev string, size bigint"
+_LISTED_NAMES = [c.split()[0] for c in _LISTED.split(", ")]
+
+
+# Rows of one stored file, and so of one task of the connector.
+_FILE_ROWS = 100_000
 
 
 class StoredPager:
-    """A stand-in for a user's pager: roots are folders of JSON lines, a page is some lines of a file."""
+    """A stand-in for a user's pager: roots are folders of JSON lines, a page is some lines of a file.
+
+    A cursor is the number of a file and a byte in it, so a page costs the same wherever it begins.
+    """
 
     def __init__(self, folder: str, lines: int = 500):
         self._folder, self._lines = folder.removeprefix("file://").removeprefix("file:"), lines
+        self._listed: tuple[str | None, list[str]] = (None, [])
 
     def _files(self, root: str) -> list[str]:
         folder = os.path.join(self._folder, f"root={root}")
@@ -341,17 +350,24 @@ class StoredPager:
     def roots(self) -> list[str]:
         return sorted(f.removeprefix("root=") for f in os.listdir(self._folder) if f.startswith("root="))
 
+    def cuts(self, root: str) -> list[str]:
+        return [f"{i}:0" for i in range(1, len(self._files(root)))]
+
     def page(self, root: str, cursor: str | None) -> tuple[list[tuple], str, bool]:
-        files = self._files(root)
-        file, line = map(int, (cursor or "0:0").split(":"))
+        if cursor is None or self._listed[0] != root:
+            self._listed = root, self._files(root)  # once for all pages of a part
+        files = self._listed[1]
+        file, at = map(int, (cursor or "0:0").split(":"))
         if file >= len(files):
             return [], f"{file}:0", False
-        with open(files[file]) as f:
-            found = list(itertools.islice(f, line, line + self._lines))
-        rows = [tuple(json.loads(x).get(c.split()[0]) for c in _LISTED.split(", ")) for x in found]
-        whole = len(found) == self._lines
-        after = f"{file}:{line + self._lines}" if whole else f"{file + 1}:0"
-        return rows, after, whole or file + 1 < len(files)
+        with open(files[file], "rb") as f:
+            f.seek(at)
+            found = list(itertools.islice(f, self._lines))
+            more = f.tell() < os.fstat(f.fileno()).st_size
+        records = map(json.loads, found)
+        rows = [tuple(map(r.get, _LISTED_NAMES)) for r in records]
+        after = f"{file}:{at + sum(map(len, found))}" if more else f"{file + 1}:0"
+        return rows, after, more or file + 1 < len(files)
 
     def latest(self, root: str) -> str:
         return f"{len(self._files(root))}:0"
@@ -362,7 +378,8 @@ def connector_listing(spark: SparkSession, folder: str) -> DataFrame:
     listing = v.source_listing(spark, folder)
     root = F.concat(F.lit("shelf"), (F.length("path_display") % 4).cast("string"))
     path = scratch_path(spark, "store")
-    listing.select(root.alias("root"), *[c.split()[0] for c in _LISTED.split(", ")]).write.partitionBy("root").json(path)
+    stored = listing.select(root.alias("root"), *_LISTED_NAMES).write.option("maxRecordsPerFile", _FILE_ROWS)
+    stored.partitionBy("root").json(path)
     register_connector(spark, "stored_pages", _LISTED, lambda: StoredPager(path))
     return spark.read.format("stored_pages").load().filter("is_file and root in ('shelf0', 'shelf1', 'shelf2')")
 

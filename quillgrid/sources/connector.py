@@ -2,9 +2,9 @@
 
 The user supplies a pager, which lists one root after another by pages with a
 cursor, and a store, which stages and publishes objects. Spark does the rest: a
-root is a partition, filters on the root reach the pager, a stream remembers the
-cursor of each root in its checkpoint, and a write publishes the objects of all
-tasks or of none.
+root is a partition, or several if the pager names cursors to cut it at, filters
+on the root reach the pager, a stream remembers the cursor of each root in its
+checkpoint, and a write publishes the objects of all tasks or of none.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ class Pager(Protocol):
     def latest(self, root: str) -> str:
         """The cursor behind all entries there are now."""
 
+    # Optional: ``cuts(root) -> Sequence[str]``, cursors in order at which a root is cut into parts that are listed
+    # side by side. Paging from the start must come to each of them exactly.
+
 
 class Store(Protocol):
     """Takes objects; made anew in every task and once for the commit."""
@@ -95,7 +98,13 @@ class _Reader(DataSourceReader):
         self._wanted = roots if self._wanted is None else self._wanted & roots
 
     def partitions(self) -> list[RootPart]:
-        return [RootPart(r) for r in self._make_pager().roots() if self._wanted is None or r in self._wanted]
+        pager, parts = self._make_pager(), []
+        cuts_of = getattr(pager, "cuts", lambda root: ())
+        for root in pager.roots():
+            if self._wanted is None or root in self._wanted:
+                cuts = [None, *cuts_of(root), None]
+                parts += [RootPart(root, start, end) for start, end in zip(cuts, cuts[1:])]
+        return parts
 
     def read(self, partition: RootPart) -> Iterator[tuple]:
         yield from _pages(self._make_pager(), partition)

@@ -129,3 +129,40 @@ def test_parts_between_cursors(spark, tmp_path):
     pager = LinePager(folder)
     assert [r[1] for r in _pages(pager, RootPart("a", "1", "3"))] == ["/1", "/2"]
     assert list(_pages(pager, RootPart("a", "2", "2"))) == [] and len(list(_pages(pager, RootPart("a")))) == 4
+
+
+class CutPager(LinePager):
+    """Cuts a root after every second page."""
+
+    def cuts(self, root):
+        return [str(i) for i in range(2, len(self._files(root)), 2)]
+
+
+def test_a_root_is_cut_into_parts(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    for page in range(7):
+        put(folder, "a", page, [(f"/a{page}", page)])
+    put(folder, "b", 0, [("/b0", 0)])
+    register_connector(spark, "cut", SCHEMA, lambda: CutPager(folder))
+    df = spark.read.format("cut").load()
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted(r.path for r in df.collect()) == [*(f"/a{i}" for i in range(7)), "/b0"]
+    assert sorted(open(f"{folder}.log").read().split()) == [*(f"a:{i}" for i in range(7)), "b:0"]  # each page once
+
+
+def test_a_stored_page_begins_at_its_byte(tmp_path):
+    from quillgrid.plans.file_queries import StoredPager
+    from quillgrid.sources.connector import _pages
+
+    folder = tmp_path / "store" / "root=a"
+    folder.mkdir(parents=True)
+    lines = [json.dumps({"path_display": f"/é{i}", "size": i}, ensure_ascii=False) + "\n" for i in range(9)]
+    for name, part in (("0.json", lines[:5]), ("1.json", []), ("2.json", lines[5:])):
+        (folder / name).write_text("".join(part))
+    pager = StoredPager(str(tmp_path / "store"), 2)
+    rows, cursor, more = pager.page("a", None)
+    assert len(rows) == 2 and more and cursor == f"0:{len(''.join(lines[:2]).encode())}"
+    assert [r[-1] for r in _pages(pager, RootPart("a"))] == list(range(9))
+    cuts = [None, *pager.cuts("a"), None]
+    parts = [[r[-1] for r in _pages(pager, RootPart("a", *ends))] for ends in zip(cuts, cuts[1:])]
+    assert parts == [[0, 1, 2, 3, 4], [], [5, 6, 7, 8]]
