@@ -124,15 +124,20 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     n = slabs.buckets(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    good = training_labels(labels, "quality").filter("label = 1").select("doc_id", F.lit(True).alias("good"))
-    # Spark broadcasts the ids as long as they are few; beyond that texts move once more.
-    marked = documents.select("doc_id", "text").join(good, "doc_id", "left")
-
-    def units(good: list, raw: bytes, sizes: np.ndarray) -> list[bytes]:
-        return _Units(raw, sizes, n).pieces(np.array([g is True for g in good], bool), n)
-
-    table = written(slabs.text_slabs(marked, units, SLAB_BYTES, "good"), "lm-slabs")
-    values = written(slabs.look_up(table.select("slab", "units"), _sums, n), "lm-counts")
+    good = training_labels(labels, "quality").filter("label = 1").select("doc_id")
+    table = written(slabs.text_slabs(documents, size=SLAB_BYTES), "lm-slabs")
+    # Only ids meet the labels. What goes back to the texts is a place per good text, few bytes enough for Spark to
+    # broadcast them; no text moves before its slab is scored.
+    placed = table.select("slab", F.posexplode("ids").alias("place", "doc_id")).join(good, "doc_id")
+    places = written(placed.groupBy("slab").agg(F.collect_list("place").alias("good")), "lm-places")
+    marked = table.select("slab", "sizes", "raw").join(places, "slab", "left")
+
+    def units(raw: bytes, sizes: np.ndarray, places: list | None) -> list[bytes]:
+        good = np.zeros(len(sizes), bool)
+        good[places or []] = True
+        return _Units(raw, sizes, n).pieces(good, n)
+
+    values = written(slabs.look_up(slabs.slab_units(marked, units), _sums, n), "lm-counts")
     numbers = F.split(F.col("value").cast("string"), ",")
     totals = [F.coalesce(F.sum(numbers[i].cast("bigint")), F.lit(0)) for i in range(3)]
     distinct, every, good = values.filter("slab < 0").agg(*totals).first()

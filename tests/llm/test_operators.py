@@ -472,6 +472,23 @@ def test_cross_entropy_learns_from_every_training_label(spark):
     assert good > 20_000 and last.target_loss == pytest.approx(-np.log(200 * p / (good + 200)), abs=1e-9)
 
 
+def test_cross_entropy_moves_no_text_to_the_labels(spark, monkeypatch):
+    plans, real = {}, cross_entropy.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(cross_entropy, "written", noted)
+    docs = documents(spark, ["a b", None, "a c", "a b"])
+    twice = docs.union(docs.filter("doc_id = 0")).union(docs.selectExpr("cast(null as bigint)", *docs.columns[1:]))
+    labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1), (2, 0), (99, 1)], "doc_id bigint, quality int")
+    got = cross_entropy.score(twice, labels).collect()
+    assert not any(x in plans["lm-slabs"] for x in ("Join", "Exchange"))  # texts are read, put in slabs and written
+    assert len(got) == 9 and len({(r.doc_id, r.score) for r in got if r.doc_id is not None}) == 4
+    assert {r.score for r in got if r.doc_id is None} == {r.score for r in got if r.doc_id is not None}
+
+
 def test_pipeline_links_near_fingerprints(spark):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
