@@ -41,12 +41,15 @@ def triangles(edges: DataFrame) -> DataFrame:
 
     Edges have no direction; repeated ones, loops and NULL ends don't count. Each
     edge's two lists of higher neighbours are intersected, so no open path becomes a row.
+    Of the lower end's list only neighbours above the edge's upper end are moved.
     """
     ordered = _ordered(edges)
-    # A list holds higher neighbours only, see above.
-    above = ordered.groupBy("low").agg(F.collect_list("high.node").alias("above"))
-    left = ordered.join(above, "low").withColumnRenamed("above", "left")
-    right = above.select(F.col("low").alias("high"), F.col("above").alias("right"))
+    # A list holds higher neighbours only, see above, in order.
+    above = ordered.groupBy("low").agg(F.sort_array(F.collect_list("high")).alias("above"))
+    left = above.select("low", "above", F.posexplode("above").alias("at", "high")).filter(F.col("at") + 1 < F.size("above"))
+    rest = F.slice(F.col("above")["node"], F.col("at") + 2, F.size("above"))
+    left = left.select(F.col("low"), F.col("high"), rest.alias("left"))
+    right = above.select(F.col("low").alias("high"), F.col("above")["node"].alias("right"))
     both = left.join(right, "high").withColumn("third", F.explode(F.array_intersect("left", "right")))
     return both.select(*_names(F.col("low.node"), F.col("high.node"), F.col("third")))
 

@@ -55,6 +55,13 @@ def test_a_star_makes_few_paths(spark):
     assert patterns.triangles(star).count() == 0 and patterns.four_cycles(star).count() == 0
 
 
+def test_lists_are_joined_once(spark):
+    """An edge's lower list comes with its own end; only the upper end's list is joined to it."""
+    edges = spark.createDataFrame(graph(1, 20, 60), "x bigint, y bigint")
+    plan = patterns.triangles(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?m)^[ :+-]*Join ", plan)) == 1
+
+
 def blocks(spark, rows):
     return spark.createDataFrame(rows, "t int, x0 double, y0 double, x1 double, y1 double, text string")
 
