@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from quillgrid.operators.skew import HOT_ROWS, salted_join
 from quillgrid.session import materialise
 
+# Paths that one task walks and counts.
+TASK_PATHS = 500_000
+
 
 def _ordered(edges: DataFrame) -> DataFrame:
     """``low, high, low_rank, high_rank``: each undirected edge once, from the end that is lower by degree, then by name."""
@@ -54,6 +57,13 @@ def triangles(edges: DataFrame) -> DataFrame:
     return both.select(*_names(F.col("low.node"), F.col("high.node"), F.col("third")))
 
 
+def _parts(up: DataFrame, either: DataFrame) -> int:
+    """Tasks to walk the paths in, so that one counts about ``TASK_PATHS`` however many there are."""
+    ups, all_ = (df.groupBy("middle").agg(F.count(F.lit(1)).alias(n)) for df, n in ((up, "ups"), (either, "all")))
+    paths = ups.join(all_, "middle").agg(F.sum(F.col("ups") * F.col("all"))).first()[0] or 0
+    return max(1, -(-paths // TASK_PATHS))
+
+
 def four_cycles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``a, b, between, cycles``: opposite corners ``a < b`` of four-cycles, the nodes between them, and the cycles these make.
 
@@ -66,6 +76,7 @@ def four_cycles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
     up = ordered.select(F.col("low").alias("middle"), F.col("high").alias("top"))
     # A node with very many neighbours is split on both sides.
+    up, either = (df.repartition(parts, "middle") for parts in [_parts(up, either)] for df in (up, either))
     paths = salted_join(up, either, ["middle"], spread=[F.col("top.node")], spread_right=[F.col("end.node")], hot_rows=hot_rows)
     corners = paths.filter(F.col("end") < F.col("top")).groupBy("top", "end").agg(F.count(F.lit(1)).alias("between"))
     found = corners.filter(F.col("between") > 1)

@@ -62,6 +62,15 @@ def test_lists_are_joined_once(spark):
     assert len(re.findall(r"(?m)^[ :+-]*Join ", plan)) == 1
 
 
+def test_paths_of_four_cycles_are_dealt_out(spark, monkeypatch):
+    real, parts = patterns.salted_join, []
+    monkeypatch.setattr(patterns, "salted_join", lambda left, *a, **k: parts.append(left.rdd.getNumPartitions()) or real(left, *a, **k))
+    edges = spark.createDataFrame([(a, 100 + b) for a in range(10) for b in range(10)], "x bigint, y bigint")
+    monkeypatch.setattr(patterns, "TASK_PATHS", 100, raising=False)
+    rows = patterns.four_cycles(edges).collect()
+    assert parts == [10] and sum(r.cycles for r in rows) == 45 * 45  # 100 edges upwards, 10 paths from each
+
+
 def blocks(spark, rows):
     return spark.createDataFrame(rows, "t int, x0 double, y0 double, x1 double, y1 double, text string")
 
