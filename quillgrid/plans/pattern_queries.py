@@ -52,7 +52,8 @@ from paths group by top, far having count(*) > 1"""
 
 def _statement_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """A statement per order: a line of five blocks per item, and a note over columns 1 to 4 under returned ones."""
-    items = v.table(spark, folder, "lineitem")
+    # An item is shuffled once, and not each of its blocks.
+    items = tables.together(v.table(spark, folder, "lineitem"), ["l_orderkey"])
     fields = [("l_partkey", 0), ("l_quantity", 1), ("l_extendedprice", 2), ("l_shipdate", 3), ("l_linestatus", 4)]
     y = 30.0 * F.col("l_linenumber")
     blocks = []
@@ -69,7 +70,10 @@ def _statement_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def statement_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Every block of the statements with its row, column and spans."""
-    cells = tables.extract_cells(_statement_blocks(spark, folder), ["l_orderkey"])
+    # An item has six blocks at most.
+    items = v.table(spark, folder, "lineitem").filter("l_orderkey is not null")
+    large = tables.large_tables(items, ["l_orderkey"], tables.LARGE_TABLE // 6)
+    cells = tables.extract_cells(_statement_blocks(spark, folder), ["l_orderkey"], large=large)
     return cells.select("l_orderkey", "row_no", "row_span", "col_no", "col_span", "text")
 
 

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrid.operators import grams as gr
 from quillgrid.operators import patterns, tables
@@ -95,6 +97,66 @@ def test_rows_columns_and_spans(spark):
     assert tables.extract_cells(blocks(spark, []), ["t"]).count() == 0
 
 
+def random_tables(seed, n=40):
+    rng = random.Random(seed)
+    odd = [None, float("nan"), float("inf"), -float("inf"), -0.0]
+    rows = []
+    for t in range(n):
+        # Every fourth table has odd places, every fifth lies anywhere.
+        for _ in range(rng.choice([1, 2, 5, 20, 90])):
+            x, y = (rng.uniform(0, 99), rng.uniform(0, 99)) if t % 5 == 0 else (10.0 * rng.randint(0, 9), 10.0 * rng.randint(0, 9))
+            at = [x, y, x + rng.choice([0.0, 0.1, 5.0, 10.0, 40.0]), y + rng.choice([0.0, 0.1, 5.0, 10.0, 40.0])]
+            if t % 4 == 0 and rng.random() < 0.1:
+                at[rng.randint(0, 3)] = rng.choice(odd)
+            rows.append((None if t == 7 else t, *at, str(rng.randint(0, 99))))
+    return rows
+
+
+def cell_counts(cells):
+    return Counter(tuple(str(value) for value in row) for row in cells.select("t", "text", "x0", "y0", "x1", "y1", *tables.CELL).collect())
+
+
+@pytest.mark.parametrize("gap_share", [0.0, 0.34])
+def test_swept_cells_equal_those_of_bands(spark, monkeypatch, gap_share):
+    rows = blocks(spark, random_tables(5)).coalesce(1)
+    want = cell_counts(tables._cells_of_bands(rows, ["t"], gap_share))
+    assert cell_counts(tables.extract_cells(rows, ["t"], gap_share)) == want
+    named = rows.selectExpr("concat('a', t) s", "case when t % 3 = 0 then double('nan') when t % 3 = 1 then if(x0 > 50, 0D, -0D) else t end d", "*")
+    keyed = cell_counts(tables._cells_of_bands(named, ["s", "d"], gap_share))
+    assert cell_counts(tables.extract_cells(named, ["s", "d"], gap_share)) == keyed
+    monkeypatch.setattr(tables, "LARGE_TABLE", 10)  # some tables are swept, some take windows
+    assert cell_counts(tables.extract_cells(rows, ["t"], gap_share)) == want
+
+
+def test_batches_end_within_tables(spark, monkeypatch):
+    rows = [row for row in random_tables(6) if row[0] is not None]
+    want = cell_counts(tables._cells_of_bands(blocks(spark, rows).coalesce(1), ["t"], 0.34))
+    names = ["t", "x0", "y0", "x1", "y1", "text"]
+    whole = pa.table({name: pa.array([row[i] for row in rows], from_pandas=False) for i, name in enumerate(names)})
+    monkeypatch.setattr(tables, "BATCH_BLOCKS", 16)
+    got = Counter()
+    for batch in tables._placed_batches(iter(whole.to_batches(max_chunksize=7)), ["t"], 0.34):
+        got.update(tuple(str(row[name]) for name in ["t", "text", "x0", "y0", "x1", "y1", *tables.CELL]) for row in batch.to_pylist())
+    assert got == want
+    assert list(tables._placed_batches(iter([]), ["t"], 0.34)) == []
+
+
+def test_tables_take_one_shuffle_and_no_windows(spark):
+    lines = spark.range(400).selectExpr("id div 4 t", "10D * (id % 4) y0", "10D * (id % 4) + 8 y1")
+    apart = tables.together(lines, ["t"]).selectExpr("t", "y0", "y1", "explode(array(0D, 50D, 90D)) x0").withColumn("x1", F.expr("x0 + 20"))
+    cells = tables.extract_cells(apart, ["t"])
+    assert Counter((r.row_no, r.row_span, r.col_no, r.col_span) for r in cells.collect()) == {(y, 1, x, 1): 100 for y in range(4) for x in range(3)}
+    ran = cells._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "MapInArrow" in ran and "Window" not in ran and "SortMergeJoin" not in ran
+    assert ran.count("Exchange hashpartitioning(xxhash64(t") == 1
+
+
+def test_large_tables(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 30 else i, "x") for i in range(60)] + [(0, "y")], "t int, text string")
+    assert [tuple(r) for r in tables.large_tables(rows, ["t"], 10).collect()] == [(0,)]
+    assert tables.large_tables(rows, ["t"], 11).count() == 0
+
+
 @pytest.mark.parametrize(
     "pattern, literal",
     [
