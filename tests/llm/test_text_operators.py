@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from quillgrid.llm import anchors, induced, periodic, spelling, suffixes
+from quillgrid.llm import anchors, induced, periodic, slabs, spelling, suffixes
 
 SCHEMA = "doc_id bigint, text string, word string, n int, slab int, bucket int, runs int, root int"
 FOLDER = "/root/testdata/sf0.001"
@@ -169,6 +169,41 @@ def test_removal(spark, monkeypatch, kind, slab_bytes, hot):
     assert Counter(tuple(r) for r in got) == plain_removal(rows)
 
 
+@pytest.mark.parametrize("kind", ["passages", "odd"])
+def test_removal_with_strings_dealt_out_one_by_one(spark, monkeypatch, kind):
+    monkeypatch.setattr(suffixes, "SLAB_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "HOT_SLABS", 1)
+    monkeypatch.setattr(suffixes, "HOT_STRETCHES", 2)
+    df = documents(spark, passages(1) if kind == "passages" else [*ODD, *ODD])
+    rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
+    assert Counter(tuple(r) for r in suffixes.removal_digests(df).collect()) == plain_removal(rows)
+
+
+def anchor_states(texts_by_slab):
+    """What becomes of the anchors of slabs with one document a text."""
+    made = [suffixes.Slab(b"".join(t), np.array([len(x) for x in t]), [1000 * i + k for k in range(len(t))], 1) for i, t in enumerate(texts_by_slab)]
+    pieces = [(i, slabs.pack_arrays(*slabs.pack_sorted(s.key_rest), s.several)) for i, s in enumerate(made)]
+    return [slabs.unpack_arrays(value, "u1")[0] for _, value in suffixes._shared_anchors(iter(pieces))]
+
+
+def test_an_anchor_in_many_slabs_keeps_its_stretches_whole(monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_SLABS", 3)
+    line = b"a line of sixty bytes or so that every one of the slabs holds"
+    once = anchor_states([[line]] * 5)
+    assert set(np.concatenate(once).tolist()) == {1}
+    monkeypatch.setattr(suffixes, "HOT_STRETCHES", 60)
+    assert set(np.concatenate(anchor_states([[line]] * 5)).tolist()) == {1}
+    assert set(np.concatenate(anchor_states([[line] * 16] * 5)).tolist()) == {2}  # 16 stretches an anchor in each of five slabs
+    assert set(np.concatenate(anchor_states([[line * 40]])).tolist()) == {0}  # many stretches, but of one document
+
+
+def test_removal_writes_only_the_texts(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(suffixes, "written", lambda df, name: names.append((name, df.drop("units").columns, df.filter("units is not null").count())) or df)
+    suffixes.removal_digests(documents(spark, passages(1))).collect()
+    assert names == [("suffix-texts", ["slab", "ids", "sizes", "raw"], 0)]
+
+
 def test_removed_spans(spark):
     shared = "".join(chr(97 + i % 23) for i in range(70))
     got = {r.doc_id: r for r in suffixes.without_repeats(documents(spark, [f"1{shared}2", f"one {shared} two {shared}é"])).collect()}
