@@ -58,11 +58,11 @@ DOC_EPS, DOC_MIN_SIZE = 0.005, 3
 
 
 def letter_model():
-    """A stand-in for a user's embedding model: shares of eight letters in the whole text."""
+    """A stand-in for a user's embedding model: shares of eight letters in the whole text, NaN if it is empty."""
     import numpy as np
 
     def predict(texts):
-        return np.array([[t.count(c) / len(t) for c in LETTERS] for t in texts], dtype="float32")
+        return np.array([[t.count(c) / len(t) if t else np.nan for c in LETTERS] for t in texts], dtype="float32")
 
     return predict
 

@@ -85,12 +85,29 @@ def embed(documents: DataFrame, make_model: Callable[[], Callable], *, input_col
     """Add ``embedding array<float>`` from a user's model, built once per Python worker.
 
     ``make_model`` returns a function from a batch of inputs to a 2-D float array.
+    The model sees no NULL: a row without input has no embedding.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
 
-    model = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    return documents.withColumn("embedding", model(F.col(input_col)))
+    def make():
+        import numpy as np
+
+        predict = make_model()
+
+        def known(inputs):
+            there = pd.notna(inputs)
+            if there.all():
+                return predict(inputs)
+            found = np.asarray(predict(inputs[there])) if there.any() else np.empty((0, 0), "float32")
+            out = np.zeros((len(inputs), found.shape[1]), found.dtype)
+            out[there] = found
+            return out
+
+        return known
+
+    model = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return documents.withColumn("embedding", F.when(F.col(input_col).isNotNull(), model(F.col(input_col))))
 
 
 def _uploads(plan: DataFrame, content_type: str) -> DataFrame:

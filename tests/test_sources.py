@@ -84,6 +84,20 @@ def test_embed_hook(spark):
     assert src.embed(df.limit(0), make, input_col="t").count() == 0
 
 
+@pytest.mark.parametrize("batch_size", [1, 2, 64])
+def test_embed_keeps_rows_without_input_from_the_model(spark, batch_size):
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[t.count("a") + 0.0, len(t)] for t in texts], dtype="float32")
+
+    df = spark.createDataFrame([(1, "abca"), (2, None), (3, ""), (4, None), (5, "b")], "id int, t string").coalesce(1)
+    got = {r.id: r.embedding for r in src.embed(df, make, input_col="t", batch_size=batch_size).collect()}
+    assert got == {1: [2.0, 4.0], 2: None, 3: [0.0, 0.0], 4: None, 5: [0.0, 1.0]}
+    none = src.embed(df.filter("t is null"), make, input_col="t", batch_size=batch_size).collect()
+    assert [(r.id, r.embedding) for r in none] == [(2, None), (4, None)]
+
+
 def test_objects(spark, tmp_path):
     plan = spark.sql(
         "select 'p1' path_display, 'k1' key, 'upload_new' action, 'r1' rev, timestamp_ntz '2024-01-02 03:04:05' client_modified"
