@@ -46,6 +46,12 @@ SAMPLED = 256
 CORE_SHARE = 0.5
 
 
+def _finite(vector: str) -> Column:
+    """Whether there is a vector and all its elements are finite numbers."""
+    numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    return F.coalesce(numbers, F.lit(False))
+
+
 def _square_sum(parts: Column) -> Column:
     return total(F.transform(parts, lambda x: x * x))
 
@@ -317,14 +323,15 @@ def density_clusters(
 
     Unlike HDBSCAN, ``eps`` is one cut for all clusters and is not chosen per
     branch; without it, ``suggested_eps`` is taken. ``min_samples`` defaults to
-    ``min_cluster_size``. Rows without a vector are noise.
+    ``min_cluster_size``. Rows without a vector are noise, and so are those with
+    an element that is not a finite number, which are near to nothing.
     """
     k = min_samples or min_cluster_size
     if eps is None:
         eps = suggested_eps(data, k, id_col=id_col, vector_col=vector_col)
     noise = F.lit(NOISE).cast("bigint")
     rows = data.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("coords"))
-    vectors = rows.filter(F.col("coords").isNotNull())
+    vectors = rows.filter(_finite("coords"))
     first = vectors.select(F.size("coords")).first()
     if first is None:
         return rows.select("id", noise.alias("cluster"))
@@ -396,20 +403,27 @@ def _every_row(rows: DataFrame, vectors: DataFrame, by_point: DataFrame, hot_row
     )
     # Rows without a vector stay out of the join, where they would all meet in one task.
     return out.select("id", F.coalesce("cluster", noise).alias("cluster")).unionByName(
-        rows.filter(F.col("coords").isNull()).select("id", noise.alias("cluster"))
+        rows.filter(~_finite("coords")).select("id", noise.alias("cluster"))
     )
 
 
 def layout_2d(vectors: DataFrame, id_col: str = "id", vector_col: str = "coords") -> DataFrame:
-    """``id, x, y``: the first two principal components, signs fixed by the largest loading."""
-    data = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col)).alias("v"))
-    if data.limit(2).count() < 2:  # one point has no spread
-        return data.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    model = PCA(k=2, inputCol="v", outputCol="p").fit(data)
+    """``id, x, y``: the first two principal components, signs fixed by the largest loading.
+
+    The components are those of the vectors whose elements are all finite; others lie at NaN.
+    """
+    known = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("coords"), _finite(vector_col).alias("finite"))
+    data = known.select("id", "finite", array_to_vector("coords").alias("v"))
+    own = data.filter("finite").select("v")
+    if own.limit(2).count() < 2:  # one point has no spread
+        place = F.when(F.col("finite"), 0.0).otherwise(math.nan)
+        return data.select("id", place.alias("x"), place.alias("y"))
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(own)
     loadings = model.pc.toArray()
     x_sign, y_sign = (1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T)
     p = vector_to_array("p")
-    return model.transform(data).select("id", (p[0] * x_sign).alias("x"), (p[1] * y_sign).alias("y"))
+    x, y = (F.when(F.col("finite"), c).otherwise(math.nan) for c in (p[0] * x_sign, p[1] * y_sign))
+    return model.transform(data).select("id", x.alias("x"), y.alias("y"))
 
 
 def cluster_documents(
@@ -423,7 +437,7 @@ def cluster_documents(
 ) -> DataFrame:
     """The clustering job: ``file, cluster, x, y`` of every document; without an embedding it is noise without a place.
 
-    Clusters are formed on the full vectors, not on the layout.
+    An embedding with an element that is not a finite number makes noise as well, at NaN. Clusters are formed on the full vectors, not on the layout.
     """
     vectors = documents.select(F.col(id_col).alias("id"), F.col(file_col).alias("file"), F.col(vector_col).alias("coords"))
     # The user's model runs once, not once per step.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid.operators import cluster as cl
 from quillgrid.operators import metric
 from quillgrid.operators.components import connected_components
+from quillgrid.plans import vector_queries
 
 
 def brute_clusters(points, eps, k, min_size):
@@ -143,6 +144,27 @@ def test_document_without_embedding_is_noise(spark):
     assert got == {"a": (1, False), "b": (-1, True)}
 
 
+@pytest.mark.parametrize("dimensions", [2, 6])
+def test_vectors_that_are_not_finite_are_noise_and_move_no_other(spark, dimensions):
+    rng = random.Random(4)
+    rows = [(i, f"d{i}", [float(i % 2) + rng.uniform(0, 0.01) for _ in range(dimensions)]) for i in range(20)]
+    bad = [[v] + [0.0] * (dimensions - 1) for v in (math.nan, math.nan, math.nan, math.inf, -math.inf, math.inf, math.inf)]
+    docs = [spark.createDataFrame(r, "doc_id bigint, file string, embedding array<float>") for r in (rows, rows + [(100 + i, f"bad{i}", b) for i, b in enumerate(bad)])]
+    plain, mixed = ({r.file: r for r in cl.cluster_documents(df, 0.1, 3).collect()} for df in docs)
+    assert len(mixed) == 27 and all(mixed[f].cluster == r.cluster and abs(mixed[f].x - r.x) < 1e-9 for f, r in plain.items())
+    assert all(mixed[f"bad{i}"].cluster == -1 and math.isnan(mixed[f"bad{i}"].x) for i in range(7))
+
+
+def test_documents_with_empty_or_no_text(spark, tmp_path):
+    texts = [*(f"a stone and a line {'o' * (i % 2)}" for i in range(12)), "", "", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shares = {r.doc_id: list(r)[1:] for r in vector_queries.embed_documents(spark, str(tmp_path)).collect()}
+    assert len(shares) == 16 and shares[15] == [None] * 8
+    assert all(math.isnan(x) for i in (12, 13, 14) for x in shares[i]) and abs(shares[0][0] - 3 / 19) < 1e-6
+    got = {r.file: (r.cluster, r.placed) for r in vector_queries.cluster_documents(spark, str(tmp_path)).collect()}
+    assert got == {**{f"doc/{i}": (i % 2, True) for i in range(12)}, **{f"doc/{i}": (-1, True) for i in (12, 13, 14)}, "doc/15": (-1, False)}
+
+
 def test_vectors_of_unequal_length_are_refused(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0, 9.0])], "id bigint, coords array<double>")
     with pytest.raises(ValueError, match="2 to 3"):
